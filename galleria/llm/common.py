@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows of a batch handed to Python. Texts can have 100,000 characters and more, so batches stay short.
 BATCH_ROWS = 256
@@ -23,7 +25,7 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
     """Apply a function to every Arrow batch of a DataFrame; no shuffle, one batch in memory."""
     short_batches(df.sparkSession)
 
@@ -40,21 +42,26 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder of spark.checkpoint.dir, which all executors share.
-
-    A folder of our own is set only where the cluster names none (local tests).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; one of our own only where it names none (tests)."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "galleria-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder: later jobs read the rows again even if executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def row_key(text: Column, *ids: Column) -> Column:
-    """A key of a row by its content: rows with the same id and the same text are the same row to an operator."""
-    return F.struct(*[c.alias(f"id{i}") for i, c in enumerate(ids)], F.xxhash64(text).alias("h"))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from galleria.llm.common import cut_lineage, map_batches, short_batches, shuffle_parts
 
 #: Children of a node of the index, and fingerprints that are looked up together.
-FAN_OUT, TOGETHER = 8, 4096
+FAN_OUT, TOGETHER = 8, 2048
 #: Rows of whole buckets that are indexed at once.
 AT_ONCE = 1 << 16
 #: A bucket of more fingerprints is dealt out once more by blocks of its other bits.
-MOST = 4096
+MOST = 2048
 
 
 def words_of(text: str) -> list[bytes]:
@@ -95,8 +95,8 @@ class Index:
             self.levels.append((pattern, shared if above is None else shared & ~above[np.arange(len(shared)) // FAN_OUT], low, high))
             above = shared
 
-    def within(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (the first one less) of fingerprints of a bucket that differ in at most radius bits."""
+    def within(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places (the first one less) of two fingerprints of a bucket that differ in at most radius bits, and in how many."""
         for first in range(0, len(self.codes), TOGETHER):
             asked = np.arange(first, min(first + TOGETHER, len(self.codes)))
             top = len(self.levels[0][0])
@@ -114,23 +114,30 @@ class Index:
                 off = off + np.bitwise_count((self.codes[who] ^ pattern[node]) & own[node])
                 keep = off <= radius
                 who, off, node = who[keep], off[keep], node[keep]
-            yield who, node
-
-
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest member of the component of each of n places, under all pairs."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while len(a):
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, low, high = a[apart], b[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-            np.minimum.at(root, high, low)
-            while (lower := root[root]).tobytes() != root.tobytes():
-                root = lower
-    return root
+            yield who, node, off
+
+
+def forest(n: int, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of n places under all found pairs; the closest pairs of a block come first."""
+    root, taken = np.arange(n), []
+    for a, b, off in found:
+        for d in np.unique(off):
+            x, y = a[off == d], b[off == d]
+            while True:
+                u, v = root[x], root[y]
+                apart = u != v
+                if not apart.any():
+                    break
+                x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+                high, low = np.maximum(u, v), np.minimum(u, v)
+                hung, which = np.unique(high, return_index=True)  # each root is hung below one other, smaller one
+                root[hung] = low[which]
+                taken.append(np.stack([x[which], y[which]]))
+                while (lower := root[root]).tobytes() != root.tobytes():
+                    root = lower
+    if not taken:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(taken, axis=1))
 
 
 def block_masks(bits: list[int], blocks: int, radius: int) -> list[int]:
@@ -149,10 +156,9 @@ def linked_in_buckets(rows: DataFrame, keys: list[str], radius: int) -> DataFram
 
     def search(codes: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
         index = Index(codes.view(np.uint64), buckets)
-        root = forest(len(codes), index.within(radius))
+        first, second = forest(len(codes), index.within(radius))
         found = index.codes.view(np.int64)
-        moved = root != np.arange(len(root))
-        x, y = found[moved], found[root[moved]]
+        x, y = found[first], found[second]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +224,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def groups(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """fp and group (a fingerprint of it that is the same for all) of the fingerprints that link to another one."""
-    found = cut_lineage(components(links(fps.select("fp").distinct(), radius, blocks)))
+def groups(edges: DataFrame) -> DataFrame:
+    """fp and group (the same fingerprint for all that are linked) of the fingerprints that edges link."""
+    found = cut_lineage(components(edges))
     return found.select(F.col("node").alias("fp"), F.col("root").alias("group")).unionByName(found.select(F.col("root").alias("fp"), F.col("root").alias("group")).distinct())
 
 
@@ -234,12 +240,63 @@ def near_duplicates(docs: DataFrame, radius: int = 2, blocks: int = 4, shingle:
     """
     known = cut_lineage(fingerprints(docs, shingle))
     firsts = cut_lineage(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    grouped = groups(firsts, radius, blocks)
+    grouped = groups(links(firsts.select("fp"), radius, blocks))
     named = firsts.join(grouped, "fp", "left").select("fp", "first", F.coalesce("group", "fp").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     of_fp = named.join(least, "group").select("fp", "component_id")
     return known.join(of_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, size: int) -> set[bytes]:
+    words = words_of(text)
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similarity(a: str, b: str, size: int = 5) -> float:
+    """Jaccard likeness of the sets of word shingles; 1 for two wordless texts."""
+    x, y = shingle_set(a, size), shingle_set(b, size)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The edges a, b (fingerprints) between texts (fp, text: one for each fingerprint) that are at least so alike."""
+    short_batches(texts.sparkSession)
+    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
+    of = cut_lineage(texts.join(ends, "fp", "left_semi"))
+    pairs = edges.join(of.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        alike = [similarity(x or "", y or "") >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return map_batches(pairs.select("a", "b", "x", "y"), rows, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, least: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates, all columns as they are: the one of the smallest doc_id.
+
+    Fingerprints within radius are candidates; a link counts if the texts share at least `least` of their five-word
+    shingles. Texts of equal fingerprint are one group. Wordless texts are one group; of repeated rows one stays; null
+    doc_ids come first in the order; no rows give no rows.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = np.array([simhash(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(values, pa.int64())], ["doc_id", "h", "fp"])
+
+    known = cut_lineage(map_batches(hashed, rows, "doc_id long, h long, fp long"))
+    firsts = cut_lineage(known.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n")))
+    edges = cut_lineage(links(firsts.select("fp"), radius, blocks).distinct())
+    linked = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
+    asked = firsts.join(linked, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
+    texts = hashed.join(asked, hashed["doc_id"].eqNullSafe(asked["d"]) & (hashed["h"] == asked["g"])).select("fp", "text").dropDuplicates(["fp"])
+    grouped = groups(confirmed(edges, texts, least))
+    stays = firsts.join(grouped, "fp", "left").groupBy(F.coalesce("group", "fp").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.h").alias("__h"))
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_semi")
+    repeated = known.groupBy("doc_id", "h").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

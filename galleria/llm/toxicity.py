@@ -169,6 +169,16 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
     return scored.select("doc_id", *carry, is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score is below THRESHOLD, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([sent.value.score(t) < THRESHOLD for t in texts_of(batch)], pa.bool_()))
+
+    return map_batches(docs, rows, docs.schema)
+
+
 def offending_sentences(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
     """doc_id, place (from 0), sentence and probability of the sentences that reach a probability."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
