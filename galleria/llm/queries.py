@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galleria.llm import bpe_automaton, chat, decontaminate, fingerprints, line_templates, simhash, toxicity
+from galleria.llm import bpe_automaton, chat, decontaminate, fingerprints, licenses, line_templates, simhash, substrings, suffixes, toxicity
 from galleria.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,22 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document."""
     kept = line_templates.dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages, as content-defined chunks, that other documents have too."""
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words and more that other documents have too."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("at").cast("long").alias("at"), "block", "license", "runner_up", F.round("reduction", 6).alias("reduction"), F.round("margin", 6).alias("margin"), F.round("likeness", 6).alias("likeness"), F.array_join("differences", " ").alias("differences"), "confirmed")
