@@ -1,0 +1,3 @@
+"""Queries of the library, by topic."""
+
+from galleria.plans import ingest, people, recognition, scalars  # noqa: F401
