@@ -1,3 +1,3 @@
 """Queries of the library, by topic."""
 
-from galleria.plans import ingest, people, recognition, scalars  # noqa: F401
+from galleria.plans import evaluation, geometry, ingest, jobs, people, quality, recognition, scalars, streams  # noqa: F401
