@@ -146,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*model.weights.values(), model.bias, model.rest], pa.float64())], ["word", "weight"])
 
     fitted = [tuple(r) for r in texts.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, MODEL).collect()]
+    if not fitted:  # no labelled documents: nothing offends
+        return Model({}, 0.0, 0.0)
     (_, bias), (_, rest) = [x for x in fitted if x[0] is None]
     return Model({w: x for w, x in fitted if w is not None}, bias, rest)
 
