@@ -8,11 +8,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of a batch handed to Python. Texts can have 100,000 characters and more, so batches stay short.
 BATCH_ROWS = 256
+#: Rows up to which a table of few columns is broadcast.
+SMALL = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for tables of a checked number of rows; a larger table is shuffled."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

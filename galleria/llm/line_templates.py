@@ -8,7 +8,11 @@ other recurs, and its lines are dropped but for the first one. Only DataFrame fu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from galleria.llm.common import cut_lineage, small
 
 #: Leading tokens of a path; documents from which on a template recurs.
 DEPTH, LEAST_DOCS = 3, 5
@@ -23,24 +27,30 @@ WILDCARD = "<*>"
 
 def masked(line: Column) -> Column:
     """The line's tokens, variable fields as wildcards, joined by single spaces; empty for a blank line."""
-    plain = F.trim(F.regexp_replace(line, r"\s+", " "))
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\v")])
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", WILDCARD)).otherwise(plain)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), at (from 0), line, shape (its masked form), leaf (hash of its path; null if blank)."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
-    shaped = each.withColumn("shape", masked(F.col("line")))
+    """Lines that aren't blank: doc_id, h (of the text), at (from 0), chars, shape (masked form), s (its hash), leaf (hash
+    of its path)."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
+    shaped = each.where(F.col("line").rlike(r"\S")).select("doc_id", "h", "at", F.length("line").alias("chars"), masked(F.col("line")).alias("shape"))
     n_tokens = F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit("")))
-    return shaped.withColumn("leaf", F.when(F.col("shape") != "", F.xxhash64(n_tokens, F.substring_index("shape", " ", DEPTH))))
+    return shaped.withColumns({"s": F.xxhash64("shape"), "leaf": F.xxhash64(n_tokens, F.substring_index("shape", " ", DEPTH))})
 
 
-def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """leaf, shape, template (its hash) of the shapes whose template recurs; documents of equal text count once."""
-    rows = lines(docs).where("leaf IS NOT NULL").select("leaf", F.xxhash64("shape").alias("s"), "shape", "h")
+def recurring(docs: DataFrame, numbers: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """leaf, s, template (its hash) of the shapes whose template recurs; documents of equal text count once.
+
+    numbers: leaf, s, h of the lines of docs.
+    """
     # Leaves in which enough texts meet: most lines end here, as two numbers each.
-    leaves = rows.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= least_docs)
-    shapes = rows.groupBy("leaf", "s", "h").agg(F.first("shape").alias("shape")).join(leaves, "leaf").groupBy("leaf", "s", "leaf_docs").agg(F.first("shape").alias("shape"), F.count("*").alias("n"))
+    leaves = cut_lineage(numbers.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= least_docs))
+    counts = numbers.join(leaves, "leaf").select("leaf", "leaf_docs", "s", "h").distinct().groupBy("leaf", "leaf_docs", "s").agg(F.count("*").alias("n"))
+    told = lines(docs).select("leaf", "s", "shape").join(small(leaves.select("leaf"), leaves.count()), "leaf").groupBy("leaf", "s").agg(F.first("shape").alias("shape"))
+    shapes = cut_lineage(counts.join(told, ["leaf", "s"]))
     # Most frequent token at each position of a leaf, weighted by documents.
     words = shapes.select("leaf", "leaf_docs", "n", F.posexplode(F.split("shape", " ")).alias("p", "word"))
     votes = words.groupBy("leaf", "p", "word", "leaf_docs").agg(F.sum("n").alias("n"))
@@ -65,16 +75,16 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     A null text stays null and has no lines; blank lines are never dropped. Rows with the same doc_id and text are told
     apart by nothing: they get the same new text. Null doc_ids come first in the order. No rows give no rows.
     """
-    known = recurring(docs, least_docs)
-    rows = lines(docs)
-    marked = rows.where("leaf IS NOT NULL").select("doc_id", "h", "at", "leaf", F.xxhash64("shape").alias("s"), F.length("line").alias("chars")).join(known, ["leaf", "s"])
+    numbers = cut_lineage(lines(docs).drop("shape"))
+    known = recurring(docs, numbers, least_docs)
+    marked = cut_lineage(numbers.join(known, ["leaf", "s"]).select("doc_id", "h", "at", "chars", "template"))
     first = marked.groupBy("template").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"))
     dropped = marked.join(first, "template").groupBy("doc_id", "h").agg(
         F.aggregate(F.collect_set(F.struct("at", "chars")), F.lit(0), lambda a, x: a + x["chars"]).alias("recurring_chars"),
         F.collect_set(F.when(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("first")), F.col("at"))).alias("drop"),
     )
-    keyed = dropped.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "recurring_chars", F.col("drop").alias("__drop"))
-    joined = docs.join(keyed, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
+    keyed = cut_lineage(dropped.where(F.size("drop") > 0).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "recurring_chars", F.col("drop").alias("__drop")))
+    joined = docs.join(small(keyed, keyed.count()), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
     parts = F.split(F.col("text"), "\n", -1)
     drops = F.when(F.col("recurring_chars") <= MOST_SHARE * F.length("text"), F.col("__drop"))
     n_dropped = F.coalesce(F.size(drops), F.lit(0)).cast("long")
