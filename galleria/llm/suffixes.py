@@ -168,7 +168,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     known = cut_lineage(suffixes(docs))
     rows = known.select("h", F.explode(F.arrays_zip("at", "keys")).alias("s")).select("h", F.col("s.at").alias("at"), F.col("s.keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    # Written first, so that the join reads two plain shuffles and Spark can split the rows of a hot key.
+    shared = cut_lineage(rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
     retained = rows.join(shared, "key", "left_semi").groupBy("h").agg(F.collect_set("at").alias("at"))
     copies = cut_lineage(known.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("n_words").alias("n_words")))
     asked = retained.join(copies, "h").select(F.col("h").alias("g"), "first", "at")
