@@ -46,7 +46,8 @@ def chunked(docs: DataFrame) -> DataFrame:
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """h, digest, place of the chunks whose digest stands in texts that differ."""
     rows = chunks.select("h", F.explode(F.arrays_zip("digests", "places")).alias("c")).select("h", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
-    shared = rows.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("digest")
+    # Written first, so that the join reads two plain shuffles and Spark can split the rows of a hot digest.
+    shared = cut_lineage(rows.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("digest"))
     return rows.join(shared, "digest", "left_semi").distinct()
 
 
@@ -69,7 +70,6 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     """
     chunks = cut_lineage(chunked(docs))
     weighed = runs(repeated_chunks(chunks)).where(F.col("run_words") >= least_words)
-    # Cast: % and floor of a long are longs, but the least start of a run is taken from its least place.
     spans = weighed.groupBy("h", "run").agg(F.floor(F.min(F.col("place")) % NUMBER / START).alias("start"), F.first("run_words").alias("words"))
     of_text = spans.groupBy("h").agg(F.max("words").alias("longest"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"))
     copies = chunks.groupBy("h").agg(F.count("*").alias("n_copies"), F.first("n_words").alias("n_words"))
