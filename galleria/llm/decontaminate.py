@@ -9,15 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galleria.llm.common import cut_lineage
+from galleria.llm.common import cut_lineage, small
 
 #: Words of a window. A shorter item is one window of all its words.
 WINDOW = 13
 #: Separators between words: ASCII characters but digits and letters. Letters are in lower case by then.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a table made from the benchmark is broadcast; a larger one is shuffled.
-SMALL = 500_000
 
 
 def words(text: Column) -> Column:
@@ -34,11 +32,6 @@ def size_of(parts: Column) -> Column:
     return (n - ends).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for tables of a checked size."""
-    return F.broadcast(df) if rows <= SMALL else df
-
-
 def windows(items: DataFrame) -> DataFrame:
     """Distinct windows of the items: wid, len, window (array of words) and items (sorted item_ids as strings)."""
     parts = items.select("item_id", F.filter(words(F.col("text")), lambda w: w != "").alias("words")).where(F.size("words") > 0)
@@ -99,17 +92,22 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, share: float = 0.8
     return named.select("doc_id", "h", "wid", "len", "start", "items", F.when(F.col("exact"), "exact").otherwise("proximity").alias("kind"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """How much of each document is made of windows of the benchmark items.
 
-    docs: doc_id, text, and the columns named in carry, which are kept. items: item_id, text. Returns doc_id, n_words,
-    n_hit (words inside any occurrence of a window), n_items, items_sha256 (of the sorted item_ids, comma-joined) and
-    contaminated (n_hit > 0 and at least a twentieth of the words).
+    docs: doc_id, text, further columns are left out. items: item_id, text. Returns doc_id, n_words, n_hit (words inside
+    any occurrence of a window), n_items, items_sha256 (of the sorted item_ids, comma-joined) and contaminated (n_hit > 0
+    and at least a twentieth of the words).
 
     A null text has no words. Documents are told apart by doc_id and text: repeated rows get the same counts, equal
     doc_ids with other texts their own. Null item_ids take part in hits but are no items. Items without words are left
     out; without items nothing is hit; without documents there are no rows.
     """
+    return measured(docs, items).drop("h")
+
+
+def measured(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """`contamination`, with h, the hash of the text."""
     hits = matches(docs, items).groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -121,13 +119,13 @@ def contamination(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ()
         lambda a: a["n"],
     )
     counted = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), covered.alias("hit"), "items")
-    every = docs.select("doc_id", *carry, F.xxhash64("text").alias("h"), size_of(words(F.col("text"))).alias("n_words"))
+    every = docs.select("doc_id", F.xxhash64("text").alias("h"), size_of(words(F.col("text"))).alias("n_words"))
     joined = every.join(counted, every["doc_id"].eqNullSafe(counted["d"]) & every["h"].eqNullSafe(counted["g"]), "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
-        *carry,
+        every["h"],
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
@@ -141,6 +139,5 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Rules as in `contamination`; repeated rows go or stay together.
     """
-    bad = contamination(docs.select("doc_id", "text"), items, carry=("text",)).where("contaminated")
-    keys = bad.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__h")).distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("__doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__h")), "left_anti")
+    bad = cut_lineage(measured(docs, items).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).distinct())
+    return docs.join(small(bad, bad.count()), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galleria.llm.common import cut_lineage, map_batches, short_batches, shuffle_parts
+from galleria.llm.common import cut_lineage, map_batches, short_batches, shuffle_parts, small
 
 #: Children of a node of the index, and fingerprints that are looked up together.
 FAN_OUT, TOGETHER = 8, 2048
@@ -289,11 +289,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, leas
     firsts = cut_lineage(known.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n")))
     edges = cut_lineage(links(firsts.select("fp"), radius, blocks).distinct())
     linked = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    asked = firsts.join(linked, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
-    texts = hashed.join(asked, hashed["doc_id"].eqNullSafe(asked["d"]) & (hashed["h"] == asked["g"])).select("fp", "text").dropDuplicates(["fp"])
+    asked = cut_lineage(firsts.join(linked, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g")))
+    texts = hashed.join(small(asked, asked.count()), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("fp", "text").dropDuplicates(["fp"])
     grouped = groups(confirmed(edges, texts, least))
-    stays = firsts.join(grouped, "fp", "left").groupBy(F.coalesce("group", "fp").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.h").alias("__h"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_semi")
+    stays = firsts.join(grouped, "fp", "left").groupBy(F.coalesce("group", "fp").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
+    # Fewer rows go than stay; they are few enough to be broadcast, or both sides are shuffled.
+    gone = known.join(stays, known["doc_id"].eqNullSafe(stays["d"]) & (known["h"] == stays["g"]), "left_anti")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
+    kept = docs.join(small(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
     repeated = known.groupBy("doc_id", "h").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
