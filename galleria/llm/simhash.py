@@ -9,13 +9,14 @@ differences on its way down and leaves whole groups as soon as the sum exceeds r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleria.llm.common import cut_lineage, map_batches, short_batches, shuffle_parts, small
 
@@ -25,6 +26,10 @@ FAN_OUT, TOGETHER = 8, 2048
 AT_ONCE = 1 << 16
 #: A bucket of more fingerprints is dealt out once more by blocks of its other bits.
 MOST = 2048
+#: Texts that tell which shingles are common, and how many of those are told apart.
+SAMPLE, COMMON = 8000, 100_000
+#: Neighbours of a shared key compared in the first round, one more than that; each further round doubles it.
+FIRST_REACH = 8
 
 
 def words_of(text: str) -> list[bytes]:
@@ -224,10 +229,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def groups(edges: DataFrame) -> DataFrame:
-    """fp and group (the same fingerprint for all that are linked) of the fingerprints that edges link."""
+def groups(edges: DataFrame, node: str = "u") -> DataFrame:
+    """Node and group (the same node for all that are linked) of the nodes that edges link."""
     found = cut_lineage(components(edges))
-    return found.select(F.col("node").alias("fp"), F.col("root").alias("group")).unionByName(found.select(F.col("root").alias("fp"), F.col("root").alias("group")).distinct())
+    return found.select(F.col("node").alias(node), F.col("root").alias("group")).unionByName(found.select(F.col("root").alias(node), F.col("root").alias("group")).distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, blocks: int = 4, shingle: int = 3) -> DataFrame:
@@ -240,7 +245,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, blocks: int = 4, shingle:
     """
     known = cut_lineage(fingerprints(docs, shingle))
     firsts = cut_lineage(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    grouped = groups(links(firsts.select("fp"), radius, blocks))
+    grouped = groups(links(firsts.select("fp"), radius, blocks), "fp")
     named = firsts.join(grouped, "fp", "left").select("fp", "first", F.coalesce("group", "fp").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     of_fp = named.join(least, "group").select("fp", "component_id")
@@ -258,12 +263,52 @@ def similarity(a: str, b: str, size: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_keys(text: str, size: int = 5) -> np.ndarray:
+    """Sorted hashes of the set of word shingles: equal shingles have equal hashes."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64)
+    n = max(1, len(words) - size + 1)
+    keys = np.zeros(n, np.uint64)
+    for i in range(min(size, len(words))):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+    return np.unique(keys ^ (keys >> np.uint64(32)))
+
+
+def prefix(keys: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest keys of a text, so many that two texts with a likeness of `least` share one; rare ones come first.
+
+    common: sorted keys that are known to be common, with their counts. Any order of the keys that is the same for all
+    texts gives the same pairs; rare ones first makes them few.
+    """
+    if not len(keys):
+        return keys
+    take = len(keys) - math.ceil(least * len(keys) - 1e-9) + 1
+    at = np.minimum(np.searchsorted(common, keys), max(len(common) - 1, 0))
+    rank = np.where(common[at] == keys, counts[at], 0) if len(common) else np.zeros(len(keys), np.int64)
+    return keys[np.lexsort((keys, rank))[:take]]
+
+
+def common_keys(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in three texts or more of a bounded sample, sorted, and in how many."""
+    part = max(1, hashed.count() // SAMPLE)
+    texts = hashed.where(F.pmod("h", F.lit(part)) == 0).dropDuplicates(["h"]).select("text")
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_keys(t or "") for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key"])
+
+    counted = map_batches(texts, rows, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    keys, counts = np.array([r[0] for r in counted], np.int64).view(np.uint64), np.array([r[1] for r in counted], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def confirmed(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The edges a, b (fingerprints) between texts (fp, text: one for each fingerprint) that are at least so alike."""
+    """The edges a, b between texts (u, text) that are at least so alike."""
     short_batches(texts.sparkSession)
-    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    of = cut_lineage(texts.join(ends, "fp", "left_semi"))
-    pairs = edges.join(of.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    pairs = edges.join(texts.select(F.col("u").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("u").alias("b"), F.col("text").alias("y")), "b")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         alike = [similarity(x or "", y or "") >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
@@ -272,27 +317,101 @@ def confirmed(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "x", "y"), rows, "a long, b long")
 
 
+def sharing(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """Pairs a, b of texts of different groups that share a key and can be alike, low to high - 1 places apart in its list.
+
+    rows: key, at (place in the list of the key's texts), u, r (group), n (shingles of the text), pos (of the key in the
+    text's order). A pair can be alike if its sizes allow it and enough of both texts comes from its first common key on.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 14)
+
+    def compare(x: np.ndarray, new: int) -> Iterator[pa.RecordBatch]:
+        key, u, r, n, pos = x
+        for d in range(low, min(high, len(key))):
+            i = max(0, new - d)  # the second one of a pair wasn't there before
+            one, two = slice(i, len(key) - d), slice(i + d, len(key))
+            y = np.flatnonzero((key[one] == key[two]) & (r[one] != r[two])) + i
+            z = y + d
+            both, rest = n[y] + n[z], np.minimum(n[y] - pos[y], n[z] - pos[z])
+            can = (np.minimum(n[y], n[z]) >= least * np.maximum(n[y], n[z]) - 1e-6) & (rest >= least / (1 + least) * both - 1e-6)
+            if can.any():
+                a, b = u[y[can]], u[z[can]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, kept, size = np.zeros((5, 0), np.int64), [], 0
+        for batch in batches:
+            kept.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "u", "r", "n", "pos")]))
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                x = np.concatenate([old, *kept], axis=1)
+                yield from compare(x, old.shape[1])
+                old, kept, size = x[:, 1 - high :], [], 0
+        if size:
+            yield from compare(np.concatenate([old, *kept], axis=1), old.shape[1])
+
+    sorted_rows = rows.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "at").select("key", "u", "r", "n", "pos")
+    found = cut_lineage(sorted_rows.mapInArrow(run, "a long, b long").distinct())
+    short_batches(rows.sparkSession)
+    return found
+
+
+def alike(shared: DataFrame, texts: DataFrame, start: DataFrame, least: float) -> DataFrame:
+    """u and group of the texts that a chain of confirmed links joins to others.
+
+    start: first candidates a, b. shared: key, at, m (texts of the key), u, n, pos. Every pair of texts that share a key is
+    compared in some round unless its texts are in one group by then, so the groups are those of all pairs.
+    """
+    grouped = cut_lineage(groups(confirmed(start, texts, least)))
+    low, high, largest = 1, FIRST_REACH, shared.agg(F.max("m")).first()[0] or 0
+    while low < largest:
+        placed = shared.where(F.col("m") > low).join(small(grouped, grouped.count()), "u", "left").withColumn("r", F.coalesce("group", "u"))
+        links_now = cut_lineage(confirmed(sharing(placed, low, high, least), texts, least))
+        if not links_now.isEmpty():
+            before = grouped.where("u != group").select(F.col("u").alias("a"), F.col("group").alias("b"))
+            grouped = cut_lineage(groups(links_now.unionByName(before)))
+        low, high = high, 2 * high
+    return grouped
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, least: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, all columns as they are: the one of the smallest doc_id.
 
-    Fingerprints within radius are candidates; a link counts if the texts share at least `least` of their five-word
-    shingles. Texts of equal fingerprint are one group. Wordless texts are one group; of repeated rows one stays; null
-    doc_ids come first in the order; no rows give no rows.
+    A link holds if two texts share at least `least` of their five-word shingles, whatever their fingerprints. Links of
+    fingerprints within radius, and of different texts of one fingerprint, are confirmed first; all further links are
+    found by the rarest shingles, of which two such texts share one. Texts of the same words are one. Wordless texts are
+    one group; of repeated rows one stays; null doc_ids come first in the order; no rows give no rows.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    common, counts = common_keys(hashed)
+    schema = "doc_id long, h long, fp long, u long, n int, keys array<long>"
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([simhash(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(values, pa.int64())], ["doc_id", "h", "fp"])
-
-    known = cut_lineage(map_batches(hashed, rows, "doc_id long, h long, fp long"))
-    firsts = cut_lineage(known.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n")))
-    edges = cut_lineage(links(firsts.select("fp"), radius, blocks).distinct())
-    linked = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    asked = cut_lineage(firsts.join(linked, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g")))
-    texts = hashed.join(small(asked, asked.count()), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("fp", "text").dropDuplicates(["fp"])
-    grouped = groups(confirmed(edges, texts, least))
-    stays = firsts.join(grouped, "fp", "left").groupBy(F.coalesce("group", "fp").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        fps = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
+        us = np.array([xxhash.xxh64_intdigest(b" ".join(words_of(t))) for t in texts], np.uint64).view(np.int64)
+        every = [shingle_keys(t) for t in texts]
+        first = [prefix(k, common, counts, least).view(np.int64) for k in every]
+        columns = [batch.column("doc_id"), batch.column("h"), pa.array(fps), pa.array(us), pa.array([len(k) for k in every], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp", "u", "n", "keys"])
+
+    known = cut_lineage(map_batches(hashed, rows, schema))
+    # One row for each text; texts of the same words have the same fingerprint and keys.
+    firsts = cut_lineage(known.groupBy("u").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    heads = cut_lineage(firsts.groupBy("fp").agg(F.min("u").alias("u")))
+    near = links(heads.select("fp"), radius, blocks).distinct()
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("u").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("u").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = firsts.select("fp", F.col("u").alias("b")).join(heads.select("fp", F.col("u").alias("a")), "fp").where("a != b").select("a", "b")
+    start = cut_lineage(near.unionByName(same))
+    of_key = Window.partitionBy("key")
+    keyed = firsts.select("u", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = keyed.withColumns({"at": F.row_number().over(of_key.orderBy("u")), "m": F.count("*").over(of_key)}).where("m > 1")
+    shared = cut_lineage(shared.select("key", "at", "m", "u", "n", "pos"))
+    ends = start.select(F.col("a").alias("u")).unionByName(start.select(F.col("b").alias("u"))).unionByName(shared.select("u")).distinct()
+    asked = cut_lineage(firsts.join(ends, "u", "left_semi").select("u", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g")))
+    texts = cut_lineage(hashed.join(small(asked, asked.count()), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("u", "text").dropDuplicates(["u"]))
+    grouped = alike(shared, texts, start, least)
+    stays = firsts.join(grouped, "u", "left").groupBy(F.coalesce("group", "u").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     # Fewer rows go than stay; they are few enough to be broadcast, or both sides are shuffled.
     gone = known.join(stays, known["doc_id"].eqNullSafe(stays["d"]) & (known["h"] == stays["g"]), "left_anti")
     gone = cut_lineage(gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
