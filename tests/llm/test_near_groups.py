@@ -41,3 +41,17 @@ def test_links_that_a_forest_of_candidates_leaves_out(spark):
     want = by_brute_force(texts)
     assert len(want) < 30
     assert left(spark, texts) == want
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    rng = random.Random(2)
+    line = [f"banner{i}" for i in range(9)]
+    texts = [" ".join(line * 60 + [f"w{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(4)]
+    assert len({S.simhash(t) for t in texts}) < 4
+    assert max(S.similarity(a, b) for a in texts for b in texts if a != b) < 0.2
+    assert left(spark, texts) == [0, 1, 2, 3]
+
+
+def test_wordless_and_short_texts(spark):
+    texts = ["", " \n ", "one", "One ", "one two three four five six", "one two three four five seven", "\t"]
+    assert left(spark, texts) == [0, 2, 4, 5]
