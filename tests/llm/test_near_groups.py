@@ -52,6 +52,16 @@ def test_equal_fingerprints_of_different_texts(spark):
     assert left(spark, texts) == [0, 1, 2, 3]
 
 
+def test_alike_texts_of_far_fingerprints(spark):
+    rng, texts = random.Random(3), []
+    for i in range(150):
+        base = [f"w{i}v{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 300))]
+        texts += [" ".join(base), edited(rng, base, rng.randrange(1, 2 + len(base) // 45))]
+    pairs = [(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True) if S.similarity(a, b) >= 0.8]
+    assert sum((S.simhash(a) ^ S.simhash(b)).bit_count() > 6 for a, b in pairs) > 20
+    assert left(spark, texts) == by_brute_force(texts)
+
+
 def test_wordless_and_short_texts(spark):
     texts = ["", " \n ", "one", "One ", "one two three four five six", "one two three four five seven", "\t"]
     assert left(spark, texts) == [0, 2, 4, 5]
