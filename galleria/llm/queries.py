@@ -108,7 +108,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document."""
-    kept = line_templates.dedup(table(spark, sf_dir, "documents"))
+    kept = line_templates.dedup(table(spark, sf_dir, "documents"), whole=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
