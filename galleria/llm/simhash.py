@@ -305,10 +305,18 @@ def common_keys(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The edges a, b between texts (u, text) that are at least so alike."""
-    short_batches(texts.sparkSession)
-    pairs = edges.join(texts.select(F.col("u").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("u").alias("b"), F.col("text").alias("y")), "b")
+def confirmed(edges: DataFrame, asked: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
+    """The edges a, b that are at least so alike; asked: u and the key (d, g) of its text's row in hashed (doc_id, h, text).
+
+    Only texts of the edges' ends are moved.
+    """
+    short_batches(edges.sparkSession)
+    ends = edges.select(F.col("a").alias("u")).unionByName(edges.select(F.col("b").alias("u"))).distinct()
+    now = cut_lineage(asked.join(ends, "u", "left_semi"))
+    of = hashed.join(small(now, now.count()), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("u", "text")
+    of = cut_lineage(of.dropDuplicates(["u"]))
+    with_x = of.select(F.col("u").alias("a"), F.col("text").alias("x")).join(small(edges, edges.count()), "a")
+    pairs = with_x.join(of.select(F.col("u").alias("b"), F.col("text").alias("y")), "b")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         alike = [similarity(x or "", y or "") >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
@@ -356,17 +364,17 @@ def sharing(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
     return found
 
 
-def alike(shared: DataFrame, texts: DataFrame, start: DataFrame, least: float) -> DataFrame:
+def alike(shared: DataFrame, asked: DataFrame, hashed: DataFrame, start: DataFrame, least: float) -> DataFrame:
     """u and group of the texts that a chain of confirmed links joins to others.
 
     start: first candidates a, b. shared: key, at, m (texts of the key), u, n, pos. Every pair of texts that share a key is
     compared in some round unless its texts are in one group by then, so the groups are those of all pairs.
     """
-    grouped = cut_lineage(groups(confirmed(start, texts, least)))
+    grouped = cut_lineage(groups(confirmed(start, asked, hashed, least)))
     low, high, largest = 1, FIRST_REACH, shared.agg(F.max("m")).first()[0] or 0
     while low < largest:
         placed = shared.where(F.col("m") > low).join(small(grouped, grouped.count()), "u", "left").withColumn("r", F.coalesce("group", "u"))
-        links_now = cut_lineage(confirmed(sharing(placed, low, high, least), texts, least))
+        links_now = cut_lineage(confirmed(sharing(placed, low, high, least), asked, hashed, least))
         if not links_now.isEmpty():
             before = grouped.where("u != group").select(F.col("u").alias("a"), F.col("group").alias("b"))
             grouped = cut_lineage(groups(links_now.unionByName(before)))
@@ -407,10 +415,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, leas
     keyed = firsts.select("u", "n", F.posexplode("keys").alias("pos", "key"))
     shared = keyed.withColumns({"at": F.row_number().over(of_key.orderBy("u")), "m": F.count("*").over(of_key)}).where("m > 1")
     shared = cut_lineage(shared.select("key", "at", "m", "u", "n", "pos"))
-    ends = start.select(F.col("a").alias("u")).unionByName(start.select(F.col("b").alias("u"))).unionByName(shared.select("u")).distinct()
-    asked = cut_lineage(firsts.join(ends, "u", "left_semi").select("u", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g")))
-    texts = cut_lineage(hashed.join(small(asked, asked.count()), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("u", "text").dropDuplicates(["u"]))
-    grouped = alike(shared, texts, start, least)
+    asked = firsts.select("u", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
+    grouped = alike(shared, asked, hashed, start, least)
     stays = firsts.join(grouped, "u", "left").groupBy(F.coalesce("group", "u").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     # Fewer rows go than stay; they are few enough to be broadcast, or both sides are shuffled.
     gone = known.join(stays, known["doc_id"].eqNullSafe(stays["d"]) & (known["h"] == stays["g"]), "left_anti")
