@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from galleria.llm.chunks import scrambled
-from galleria.llm.common import cut_lineage, map_batches, short_batches, shuffle_parts, texts_of
+from galleria.llm.common import cut_lineage, map_batches, shuffle_parts, texts_of, written
 
 #: Words of the shortest repeat, of the hashed grams, and grams among which a minimiser is picked.
 LEAST, GRAM, WINDOW = 50, 8, 32
@@ -126,34 +126,151 @@ def common_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), same.shape[1], same.argmin(1))
 
 
-def matches(sorted_rows: DataFrame) -> DataFrame:
-    """h, start, end (words) of the matches of at least LEAST words between neighbours of different texts.
+def windows_between(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The windows of LEAST words that a match holds, as bits: bit j for the one that starts j words before the suffix.
 
-    Rows come sorted within each partition; one batch and the two rows before it are held at a time. The second neighbour
-    is looked at too, as the first one may be of the same text.
+    left, right: words of the match before the suffix and behind its first PREFIX words.
     """
-    short_batches(sorted_rows.sparkSession)
+    low = (BEYOND - right).astype(np.int64)
+    return np.where(left >= low, (np.int64(1) << (left.astype(np.int64) + 1)) - (np.int64(1) << np.minimum(low, left)), 0)
+
+
+class Rows:
+    """Sorted suffixes: numbers (key, h, at) and the words around them, the sorted side first."""
+
+    def __init__(self, numbers: np.ndarray, near: np.ndarray, far: np.ndarray):
+        self.numbers, self.near, self.far = numbers, near, far
+
+    def __len__(self) -> int:
+        return self.numbers.shape[1]
+
+    def __getitem__(self, at) -> Rows:
+        return Rows(self.numbers[:, at], self.near[at], self.far[at])
+
+    def then(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.numbers, other.numbers], axis=1), np.concatenate([self.near, other.near]), np.concatenate([self.far, other.far]))
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, near: str, far: str) -> Rows:
+        numbers = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "h", "at")])
+        return Rows(numbers, *(np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, BEYOND) for c in (near, far)))
+
+
+FACTS = "key long, h long, at int, reach int, windows long, after binary, before binary"
+
+
+def compared(rows: Rows, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row how far it matches any other text on the sorted side, and the windows that it shares with the nearest
+    row of another text on either side. In sorted order the longest match is with one of these two."""
+    key, h, _ = rows.numbers
+    n = len(rows)
+    edge = np.flatnonzero((key[1:] != key[:-1]) | (h[1:] != h[:-1])) + 1  # a run: rows of one key and text
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    reach, shared = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for other in (starts[run] - 1, ends[run]):
+        i = np.flatnonzero((other >= 0) & (other < n))
+        i = i[key[i] == key[other[i]]]
+        j = other[i]
+        near, far = common_words(rows.near[i], rows.near[j]), common_words(rows.far[i], rows.far[j])
+        reach[i] = np.maximum(reach[i], near)
+        shared[i] |= windows_between(far, near) if forward else windows_between(near, far)
+    return reach, shared
+
+
+def neighbours(sorted_rows: DataFrame, forward: bool, open_ends: bool = True) -> DataFrame:
+    """FACTS of suffixes that come sorted by key and by what follows (forward) or by what comes before.
+
+    One batch and the run before it are held at a time. With open_ends, rows at either end of a partition, whose
+    neighbours may stand in another one, carry their words too, so that they can be compared once more.
+    """
+    near, far = ("after", "before") if forward else ("before", "after")
+
+    def result(rows: Rows, skip: int, marks: np.ndarray) -> pa.RecordBatch:
+        """FACTS of the rows from skip on; marks: rows that carry their words."""
+        reach, shared = (x[skip:] for x in compared(rows, forward))
+        own, marks = rows[np.arange(skip, len(rows))], marks[skip:]
+        words = {near: own.near, far: own.far}
+        sides = []
+        for c in ("after", "before"):
+            side: list[bytes | None] = [None] * len(own)
+            for i in np.flatnonzero(marks):
+                side[i] = words[c][i].tobytes()
+            sides.append(pa.array(side, pa.binary()))
+        key, h, at = own.numbers
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(at.astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(shared), *sides], [c.split()[0] for c in FACTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        held, skip, first = None, 0, True  # skip: rows of held that have been given out
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "h", "at")]
-            now += [np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, BEYOND) for c in ("after", "before")]
-            rows = now if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, now, strict=True)]
-            key, h, at, after, before = rows
-            found = []
-            for step in (1, 2):
-                i = np.flatnonzero((key[:-step] == key[step:]) & (h[:-step] != h[step:])) if len(key) > step else np.zeros(0, np.int64)
-                right, left = common_words(after[i], after[i + step]), common_words(before[i], before[i + step])
-                long = right + left >= BEYOND
-                i, right, left = i[long], right[long], left[long]
-                for j in (i, i + step):
-                    found.append(np.stack([h[j], at[j] - left, at[j] + PREFIX + right]))
-            kept = [x[-2:] for x in rows]
-            owner, start, end = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["h", "start", "end"])
-
-    return sorted_rows.mapInArrow(run, "h long, start int, end int")
+            held = (x := Rows.of(batch, near, far)) if held is None else held.then(x := Rows.of(batch, near, far))
+            key, h, _ = held.numbers
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (h[1:] != h[:-1])) + 1
+            if len(edge) < 3:
+                continue
+            # All but the last run have both neighbours; the row before that run stays for it.
+            cut = edge[-1]
+            marks = np.zeros(cut + 1, bool)
+            marks[cut - 1] = open_ends
+            if first:
+                marks[: edge[0] + 1] = open_ends
+            yield result(held[np.arange(cut + 1)], skip, marks).slice(0, cut - skip)
+            held, skip, first = held[np.arange(cut - 1, len(held))], 1, False
+        if held is not None and len(held) > skip:
+            yield result(held, skip, np.full(len(held), open_ends))
+
+    return sorted_rows.mapInArrow(run, FACTS)
+
+
+def facts(around: DataFrame) -> DataFrame:
+    """FACTS of all suffixes in both orders, side telling which. Rows are dealt by ranges of the whole order, so that the
+    suffixes of a frequent key are spread too; what lies at the edges of the ranges (a few rows each) is compared again."""
+    parts = shuffle_parts(around.sparkSession)
+    found = None
+    for forward, order in ((True, ("after", "before")), (False, ("before", "after"))):
+        columns = ["key", *order, "h", "at"]
+        one = neighbours(around.repartitionByRange(parts, *columns).sortWithinPartitions(*columns), forward).withColumn("side", F.lit(int(forward)))
+        found = one if found is None else found.unionByName(one)
+    found = written(found, "suffix-neighbours")
+    for forward, order in ((True, ("after", "before")), (False, ("before", "after"))):
+        edges = found.where(F.col("after").isNotNull() & (F.col("side") == int(forward))).repartition(1).sortWithinPartitions("key", *order, "h", "at")
+        found = found.unionByName(neighbours(edges, forward, open_ends=False).withColumn("side", F.lit(int(forward))))
+    return found.select("key", "h", "at", "reach", "windows", "side")
+
+
+def bit(i: Column) -> Column:
+    """The long in which only that bit is set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def ones(low: Column, high: Column) -> Column:
+    """Bits low to high of a long; none if high is less."""
+    return F.when(high >= low, bit(high + 1) - bit(low)).otherwise(F.lit(0).cast("long"))
+
+
+def repeated_windows(around: DataFrame) -> DataFrame:
+    """h, at and the windows (bits) around each suffix that another text has too.
+
+    Neighbours tell for each suffix the longest match on either side, and some windows that are shared for sure. Where
+    windows are left that could be shared with a third text (a match that is longest on neither side), those are hashed
+    and counted.
+    """
+    seen = facts(around).groupBy("h", "at", "key").agg(
+        F.max(F.when(F.col("side") == 1, F.col("reach"))).alias("right"), F.max(F.when(F.col("side") == 0, F.col("reach"))).alias("left"), F.bit_or("windows").alias("sure")
+    )
+    possible = ones(BEYOND - F.coalesce("right", F.lit(0)), F.coalesce("left", F.lit(0)))
+    seen = written(seen.select("h", "at", "key", "sure", possible.alias("possible")).where("possible <> 0"), "suffix-windows")
+    keys = cut_lineage(seen.where("possible <> sure").select("key").distinct())
+    sure = seen.where("sure <> 0").select("h", "at", "sure")
+    if keys.isEmpty():
+        return sure
+    asked = seen.join(keys, "key", "left_semi").select("h", "at", "key", "possible")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(BEYOND)), lambda j: F.col("possible").bitwiseAND(bit(j)) != 0)
+    each = around.join(asked, ["h", "at", "key"]).select("h", "at", "key", "after", "before", F.explode(bits).alias("j"))
+    each = written(each.select("h", "at", "j", F.xxhash64("key", "j", F.substring("before", F.lit(1), 4 * F.col("j")), F.substring("after", F.lit(1), 4 * (BEYOND - F.col("j")))).alias("w")), "suffix-third-texts")
+    shared = cut_lineage(each.groupBy("w").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("w"))
+    more = each.join(shared, "w", "left_semi").groupBy("h", "at").agg(F.bit_or(bit(F.col("j"))).alias("sure"))
+    return sure.unionByName(more).groupBy("h", "at").agg(F.bit_or("sure").alias("sure"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -175,8 +292,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     asked = retained.join(copies, "h").select(F.col("h").alias("g"), "first", "at")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     owned = texts.join(asked, (texts["h"] == asked["g"]) & texts["doc_id"].eqNullSafe(asked["first"])).select("h", "text", "at")
-    around = surroundings(owned).repartition(shuffle_parts(docs.sparkSession), "key")
-    found = matches(around.sortWithinPartitions("key", "after", "before")).unionByName(matches(around.sortWithinPartitions("key", "before", "after")))
+    around = written(surroundings(owned), "suffixes")
+    highest, lowest = (F.length(F.bin(x)) - 1 for x in (F.col("sure"), F.col("sure").bitwiseAND(-F.col("sure"))))
+    # All windows of a suffix hold its first PREFIX words, so together they are one span.
+    found = repeated_windows(around).select("h", (F.col("at") - highest).alias("start"), (F.col("at") + LEAST - lowest).alias("end"))
     merged = F.aggregate(
         F.sort_array(F.collect_set(F.struct("start", "end"))),
         F.array().cast("array<struct<start:int,end:int>>"),

@@ -54,7 +54,52 @@ def test_against_brute_force(spark, sf, awkward, nothing):
         want = sorted((d is not None, d or 0, len(hit)) for (d, _), hit in zip(rows, repeated_words([t for _, t in rows]), strict=True) if hit)
         out = X.repeated_passages(frame).collect()
         got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_repeated) for r in out)
-        assert [x[:2] for x in got] == [x[:2] for x in want]
-        # Matches are reported within BEYOND words of each suffix on either side, so spans cover the windows.
-        assert all(a[2] >= 0.95 * b[2] for a, b in zip(got, want, strict=True))
+        assert got == want
     assert X.repeated_passages(nothing).count() == 0
+
+
+def words(rng, n, pool=10**6):
+    return [f"w{x}" for x in rng.integers(0, pool, n)]
+
+
+def check(spark, texts, parts=None):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(hit) for i, hit in enumerate(repeated_words(texts)) if hit}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts or before)
+    try:
+        assert {r.doc_id: r.n_repeated for r in X.repeated_passages(docs).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return want
+
+
+def test_a_text_that_repeats_itself(spark):
+    rng = np.random.default_rng(11)
+    passage = words(rng, 60)
+    one = sum(([*words(rng, 25), *passage] for _ in range(6)), [])
+    assert check(spark, [" ".join(one), " ".join([*words(rng, 30), *passage, *words(rng, 30)])]) == {0: 360, 1: 60}
+
+
+def test_matches_that_are_longest_on_neither_side(spark):
+    rng = np.random.default_rng(12)
+    passage = words(rng, 90)
+    texts = [passage]
+    for a in range(0, 40, 3):  # every text shares other parts of the passage
+        texts.append([*words(rng, 20), *passage[a : a + 44 + a % 11], *words(rng, 20)])
+    check(spark, [" ".join(t) for t in texts])
+
+
+def test_hot_passages_over_many_partitions(spark):
+    rng = np.random.default_rng(13)
+    passage, other = words(rng, 70), words(rng, 55)
+    texts = [" ".join([*words(rng, int(rng.integers(0, 30))), *passage[: int(rng.integers(45, 71))], *words(rng, int(rng.integers(0, 30)), 3), *other[int(rng.integers(0, 10)) :]]) for _ in range(300)]
+    texts += [" ".join(["same"] * n) for n in (49, 50, 51, 400)] + [" ".join(["a", "b"] * n) for n in (24, 25, 90)]
+    check(spark, texts, parts="23")
+
+
+def test_random_texts_of_few_words(spark):
+    rng = np.random.default_rng(14)
+    pool = [words(rng, int(rng.integers(5, 60)), 40) for _ in range(12)]
+    texts = [" ".join(sum((pool[k] for k in rng.integers(0, len(pool), 8)), [])) for _ in range(60)]
+    check(spark, texts)
