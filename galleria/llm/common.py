@@ -6,15 +6,16 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Rows of a batch handed to Python. Texts can have 100,000 characters and more, so batches stay short.
 BATCH_ROWS = 256
-#: Rows up to which a table of few columns is broadcast.
-SMALL = 200_000
+#: Bytes up to which a table is broadcast; its size is measured each time.
+SMALL = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for tables of a checked number of rows; a larger table is shuffled."""
-    return F.broadcast(df) if rows <= SMALL else df
+def width(df: DataFrame) -> Column:
+    """Bytes of a row, about: texts and arrays by their length."""
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        kind, c = f.dataType, F.col(f"`{f.name}`")
+        if isinstance(kind, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 16)
+        elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+            parts.append(F.coalesce(F.octet_length(F.array_join(c, " ")) + 24 * F.size(c), F.lit(0)) + 16)
+        elif isinstance(kind, ArrayType):
+            parts.append(F.coalesce(8 * F.size(c), F.lit(0)) + 16)
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda a, b: a + b, parts).cast("long")
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table (written or checkpointed before) has at most SMALL bytes."""
+    return (df.agg(F.sum(width(df))).first()[0] or 0) <= SMALL
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table whose measured size allows it; a larger one is shuffled."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def narrowed(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """The rows of df whose key stands in keys (written or checkpointed before).
+
+    A small table of keys is broadcast. Beyond that the join's result is checkpointed, so that no later aggregate reuses
+    its distribution and Spark can split the rows of a frequent key.
+    """
+    if is_small(keys):
+        return df.join(F.broadcast(keys), on, "left_semi")
+    return cut_lineage(df.join(keys, on, "left_semi"))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

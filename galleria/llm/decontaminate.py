@@ -51,7 +51,7 @@ def anchors(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """Adds to each window its two rarest terms by their counts in all documents: term1, at1, term2, at2 (null if alone)."""
     terms = asked.select("wid", F.posexplode("window").alias("at", "word")).select("wid", "at", F.xxhash64("word").alias("term"))
     distinct = cut_lineage(terms.select("term").distinct())
-    counts = tokens(docs).select("term").join(small(distinct, distinct.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = tokens(docs).select("term").join(small(distinct), "term").groupBy("term").agg(F.count("*").alias("n"))
     ranked = terms.join(counts, "term", "left").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("r"))
     first, second = F.element_at("r", 1), F.try_element_at("r", F.lit(2))
     return asked.join(ranked, "wid").select("wid", "len", "window", "items", first["term"].alias("term1"), first["at"].alias("at1"), second["term"].alias("term2"), second["at"].alias("at2"))
@@ -67,14 +67,13 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, share: float = 0.8
     """
     asked = cut_lineage(windows(items))
     asked = cut_lineage(anchors(docs, asked))
-    rows = asked.count()
     around = WINDOW - 1 + slop
     wanted = cut_lineage(asked.select(F.col("term1").alias("term"), F.lit(True).alias("context")).unionByName(asked.where("term2 IS NOT NULL").select(F.col("term2").alias("term"), F.lit(False).alias("context"))).groupBy("term").agg(F.max("context").alias("context")))
     # The index: postings of the terms that windows are looked up by, with the words around those of first terms.
     begin = F.greatest(F.col("pos") - around, F.lit(0))
     context = F.when(F.col("context"), F.slice("words", begin + 1, F.col("pos") - begin + around + 1))
-    postings = cut_lineage(tokens(docs).join(small(wanted, wanted.count()), "term").select("term", "doc_id", "h", "pos", begin.alias("begin"), context.alias("around")))
-    found = postings.where("around IS NOT NULL").join(small(asked, rows), F.col("term") == F.col("term1")).select("doc_id", "h", "begin", "around", (F.col("pos") - F.col("at1")).alias("start"), "wid", "len", "window", "items", "term2", "at2")
+    postings = cut_lineage(tokens(docs).join(small(wanted), "term").select("term", "doc_id", "h", "pos", begin.alias("begin"), context.alias("around")))
+    found = postings.where("around IS NOT NULL").join(small(asked), F.col("term") == F.col("term1")).select("doc_id", "h", "begin", "around", (F.col("pos") - F.col("at1")).alias("start"), "wid", "len", "window", "items", "term2", "at2")
     found = found.where(F.lit(slop > 0) | (F.col("start") >= 0))
     second = postings.select(F.col("term").alias("term2"), F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("pos2"))
     same = (found["term2"] == second["term2"]) & found["doc_id"].eqNullSafe(second["d"]) & found["h"].eqNullSafe(second["g"])
@@ -140,4 +139,4 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rules as in `contamination`; repeated rows go or stay together.
     """
     bad = cut_lineage(measured(docs, items).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).distinct())
-    return docs.join(small(bad, bad.count()), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")

@@ -1,9 +1,10 @@
 """Line dedup with a log-template tree.
 
 A line's path in the tree is its number of tokens and its leading tokens, variable fields (tokens with a digit) written
-as a wildcard. In a leaf, positions where the documents disagree become wildcards too; lines that agree with the leaf's
-template on enough positions are its instances. A template that stands in several documents that are not copies of each
-other recurs, and its lines are dropped but for the first one. Only DataFrame functions are used.
+as a wildcard. In a leaf, a token that few of the leaf's lines have at its position is a variable field too; a line with
+enough other tokens is an instance of the template that is left, so a leaf has as many templates as its lines need. A
+template that stands in several documents that are not copies of each other recurs, and its lines are dropped but for the
+first one. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galleria.llm.common import cut_lineage, small
+from galleria.llm.common import cut_lineage, narrowed, small
 
 #: Leading tokens of a path; documents from which on a template recurs.
 DEPTH, LEAST_DOCS = 3, 5
@@ -20,11 +21,10 @@ DEPTH, LEAST_DOCS = 3, 5
 #: count: headings and short sentences meet by chance (lines in 2 to 4 texts of sf0.1: 0.2 % of the characters are in
 #: shorter ones, 1.4 % in these).
 LONG_TOKENS, LONG_DOCS = 10, 2
-#: A position is part of a leaf's template if its most frequent token has this share of the leaf's documents; a line is
-#: an instance if it agrees on this share of all its positions.
-CONSTANT, SIMILAR = 0.5, 0.7
-#: Without `whole`, a document in which recurring lines make up more than this share of the characters keeps them.
-MOST_SHARE = 0.5
+#: A token is constant at its position if this share of the leaf has it there (and at least as many documents as a
+#: template needs); so a position has ten constants at most. A line is an instance of a template if this share of its
+#: tokens is constant, and a template by itself if not.
+CONSTANT, SIMILAR = 0.1, 0.7
 WILDCARD = "<*>"
 
 
@@ -48,64 +48,56 @@ def lines(docs: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, numbers: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """leaf, s, template (its hash) of the shapes whose template recurs; documents of equal text count once.
 
-    numbers: leaf, s, h of the lines of docs.
+    numbers: leaf, s, h of the lines of docs, checkpointed.
     """
-    # Leaves in which enough texts meet: most lines end here, as two numbers each.
-    leaves = cut_lineage(numbers.select("leaf", "h").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= least_docs))
-    counts = numbers.join(leaves, "leaf").select("leaf", "leaf_docs", "s", "h").distinct().groupBy("leaf", "leaf_docs", "s").agg(F.count("*").alias("n"))
-    told = lines(docs).select("leaf", "s", "shape").join(small(leaves.select("leaf"), leaves.count()), "leaf").groupBy("leaf", "s").agg(F.first("shape").alias("shape"))
-    shapes = cut_lineage(counts.join(told, ["leaf", "s"]))
-    # Most frequent token at each position of a leaf, weighted by documents.
-    words = shapes.select("leaf", "leaf_docs", "n", F.posexplode(F.split("shape", " ")).alias("p", "word"))
-    votes = words.groupBy("leaf", "p", "word", "leaf_docs").agg(F.sum("n").alias("n"))
-    winners = votes.where(F.col("n") >= CONSTANT * F.col("leaf_docs")).groupBy("leaf", "p").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
-    template = winners.groupBy("leaf").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", "word")))).alias("constants"))
-    placed = shapes.join(template, "leaf", "left")
+    # Most lines are alone in their leaf and end here, as one number each.
+    crowded = cut_lineage(numbers.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf"))
+    texts = cut_lineage(narrowed(numbers.select("leaf", "s", "h"), crowded, "leaf").distinct())
+    counts = cut_lineage(texts.groupBy("leaf", "s").agg(F.count("*").alias("n")))
+    totals = cut_lineage(counts.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= least_docs))
+    told = narrowed(lines(docs).select("leaf", "s", "shape"), totals.select("leaf"), "leaf").groupBy("leaf", "s").agg(F.first("shape").alias("shape"))
+    shapes = cut_lineage(counts.join(small(totals), "leaf").join(told, ["leaf", "s"]))
     parts = F.split("shape", " ")
-    agree = F.size(F.filter(F.transform(parts, lambda w, i: F.col("constants")[i] == w), lambda x: x))
-    general = F.coalesce(agree >= SIMILAR * F.size(parts), F.lit(False))
-    # An instance of the leaf's template, or a template by itself.
-    named = placed.select("leaf", "s", "n", F.when(general, F.col("leaf")).otherwise(F.xxhash64("leaf", "s")).alias("template"))
-    of_template = named.groupBy("template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("template")
-    return named.join(of_template, "template").select("leaf", "s", "template")
-
-
-def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, whole: bool = False) -> DataFrame:
+    votes = shapes.select("leaf", "total", "n", F.posexplode(parts).alias("p", "word")).groupBy("leaf", "total", "p", "word").agg(F.sum("n").alias("n"))
+    constant = votes.where(F.col("n") >= F.greatest(F.lit(least_docs), CONSTANT * F.col("total"))).groupBy("leaf", "p").agg(F.collect_set("word").alias("words"))
+    by_place = F.map_from_entries(F.collect_list(F.struct("p", "words")))
+    none = F.array().cast("array<string>")
+    constants = constant.groupBy("leaf").agg(by_place.alias("m"), F.max("p").alias("last")).select("leaf", F.transform(F.sequence(F.lit(0), "last"), lambda p: F.coalesce(F.try_element_at("m", p), none)).alias("constants"))
+    placed = shapes.join(small(cut_lineage(constants)), "leaf", "left")
+    is_constant = lambda w, i: F.coalesce(F.array_contains(F.get("constants", i), w), F.lit(False))
+    general = F.size(F.filter(parts, is_constant)) >= SIMILAR * F.size(parts)
+    form = F.array_join(F.transform(parts, lambda w, i: F.when(is_constant(w, i), w).otherwise(WILDCARD)), " ")
+    named = cut_lineage(placed.select("leaf", "s", F.when(general, F.xxhash64("leaf", form)).otherwise(F.xxhash64("leaf", "s")).alias("template")))
+    of_text = texts.join(small(named), ["leaf", "s"]).select("template", "h").distinct()
+    enough = cut_lineage(of_text.groupBy("template").count().where(F.col("count") >= least_docs).select("template"))
+    return named.join(small(enough), "template", "left_semi").select("leaf", "s", "template")
+
+
+def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Documents without the lines of recurring templates.
 
     docs: doc_id, text and any further columns. Returns them with the new text and n_lines, n_dropped. The first line of
-    a template, by doc_id and place, stays. With `whole`, the queries' way, this holds for every document, whatever its
-    share of recurring lines; long lines recur from LONG_DOCS documents on; documents of the same text as the one with
-    the first line keep it too, so that they stay copies. Without, all lines of a document stay that mostly consists of
-    recurring ones.
+    a template, by doc_id, hash of the text and place, stays; documents of the same text keep it too, so that they stay
+    copies. Long lines recur from LONG_DOCS documents on. The rule is the same for every document, whatever its share of
+    recurring lines: one that holds nothing else is left with an empty text.
 
     A null text stays null and has no lines; blank lines are never dropped. Rows with the same doc_id and text are told
-    apart by nothing: they get the same new text. Null doc_ids come first in the order. No rows give no rows.
+    apart by nothing: they get the same new text. Null doc_ids come first in the order. Texts may have any length. Columns
+    n_lines and n_dropped of docs are replaced, all others stay. No rows give no rows.
     """
     numbers = cut_lineage(lines(docs).drop("shape"))
-    known = recurring(docs, numbers, least_docs)
-    if whole:
-        known = cut_lineage(known)
-        long = numbers.where(F.col("v").isNotNull()).select("v", "h").distinct().groupBy("v").count().where(F.col("count") >= LONG_DOCS)
-        long = cut_lineage(long.select("v", F.xxhash64(F.lit("verbatim"), "v").alias("same")))
-        named = numbers.join(small(known, known.count()), ["leaf", "s"], "left").join(small(long, long.count()), "v", "left")
-        marked = named.withColumn("template", F.coalesce("template", "same")).where(F.col("template").isNotNull())
-        place = ["h", "at"]
-    else:
-        marked, place = numbers.join(known, ["leaf", "s"]), ["doc_id", "h", "at"]
-    marked = cut_lineage(marked.select("doc_id", "h", "at", "chars", "template"))
-    first = marked.groupBy("template").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"))
-    dropped = marked.join(first, "template").groupBy("doc_id", "h").agg(
-        F.aggregate(F.collect_set(F.struct("at", "chars")), F.lit(0), lambda a, x: a + x["chars"]).alias("recurring_chars"),
-        F.collect_set(F.when(~F.struct(*place).eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in place])), F.col("at"))).alias("drop"),
-    )
-    keyed = cut_lineage(dropped.where(F.size("drop") > 0).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "recurring_chars", F.col("drop").alias("__drop")))
-    joined = docs.join(small(keyed, keyed.count()), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    drops = F.col("__drop") if whole else F.when(F.col("recurring_chars") <= MOST_SHARE * F.length("text"), F.col("__drop"))
-    n_dropped = F.coalesce(F.size(drops), F.lit(0)).cast("long")
-    n_dropped = F.when(drops.isNull(), F.lit(0).cast("long")).otherwise(n_dropped)
+    known = cut_lineage(recurring(docs, numbers, least_docs))
+    long = numbers.where(F.col("v").isNotNull()).select("v", "h").distinct().groupBy("v").count().where(F.col("count") >= LONG_DOCS)
+    long = cut_lineage(long.select("v", F.xxhash64(F.lit("verbatim"), "v").alias("same")))
+    named = numbers.join(small(known), ["leaf", "s"], "left").join(small(long), "v", "left")
+    marked = cut_lineage(named.select("doc_id", "h", "at", F.coalesce("template", "same").alias("template")).where(F.col("template").isNotNull()))
+    first = cut_lineage(marked.groupBy("template").agg(F.min(F.struct("doc_id", "h", "at")).alias("f")).select("template", F.col("f.h").alias("first_h"), F.col("f.at").alias("first_at")))
+    going = marked.join(small(first), "template").where((F.col("h") != F.col("first_h")) | (F.col("at") != F.col("first_at")))
+    keyed = cut_lineage(going.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_set("at").alias("__drop")))
+    joined = docs.join(small(keyed), docs["doc_id"].eqNullSafe(keyed["__d"]) & (F.xxhash64(docs["text"]) == keyed["__h"]), "left")
+    parts, drops = F.split(docs["text"], "\n", -1), keyed["__drop"]
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drops, i)), "\n")
-    text = F.when(n_dropped > 0, kept).otherwise(F.col("text"))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(*[docs[c] for c in others], text.alias("text"), F.coalesce(F.when(docs["text"].isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(parts)).cast("long")
+    n_dropped = F.when(drops.isNull(), 0).otherwise(F.size(drops)).cast("long")
+    return joined.select(*others, F.when(drops.isNull(), docs["text"]).otherwise(kept).alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

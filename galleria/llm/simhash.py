@@ -313,9 +313,9 @@ def confirmed(edges: DataFrame, asked: DataFrame, hashed: DataFrame, least: floa
     short_batches(edges.sparkSession)
     ends = edges.select(F.col("a").alias("u")).unionByName(edges.select(F.col("b").alias("u"))).distinct()
     now = cut_lineage(asked.join(ends, "u", "left_semi"))
-    of = hashed.join(small(now, now.count()), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("u", "text")
+    of = hashed.join(small(now), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("u", "text")
     of = cut_lineage(of.dropDuplicates(["u"]))
-    with_x = of.select(F.col("u").alias("a"), F.col("text").alias("x")).join(small(edges, edges.count()), "a")
+    with_x = of.select(F.col("u").alias("a"), F.col("text").alias("x")).join(small(edges), "a")
     pairs = with_x.join(of.select(F.col("u").alias("b"), F.col("text").alias("y")), "b")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -373,7 +373,7 @@ def alike(shared: DataFrame, asked: DataFrame, hashed: DataFrame, start: DataFra
     grouped = cut_lineage(groups(confirmed(start, asked, hashed, least)))
     low, high, largest = 1, FIRST_REACH, shared.agg(F.max("m")).first()[0] or 0
     while low < largest:
-        placed = shared.where(F.col("m") > low).join(small(grouped, grouped.count()), "u", "left").withColumn("r", F.coalesce("group", "u"))
+        placed = shared.where(F.col("m") > low).join(small(grouped), "u", "left").withColumn("r", F.coalesce("group", "u"))
         links_now = cut_lineage(confirmed(sharing(placed, low, high, least), asked, hashed, least))
         if not links_now.isEmpty():
             before = grouped.where("u != group").select(F.col("u").alias("a"), F.col("group").alias("b"))
@@ -421,7 +421,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, leas
     # Fewer rows go than stay; they are few enough to be broadcast, or both sides are shuffled.
     gone = known.join(stays, known["doc_id"].eqNullSafe(stays["d"]) & (known["h"] == stays["g"]), "left_anti")
     gone = cut_lineage(gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
-    kept = docs.join(small(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
     repeated = known.groupBy("doc_id", "h").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

@@ -5,7 +5,7 @@ from galleria.llm import line_templates as L
 
 def kept(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.text for r in L.dedup(docs, whole=True).collect()}
+    return {r.doc_id: r.text for r in L.dedup(docs).collect()}
 
 
 def test_documents_full_of_recurring_lines(spark):
