@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-#: Rows of a batch handed to Python. Texts can have 100,000 characters and more, so batches stay short.
+#: Rows that Python looks at together. Texts can have 100,000 characters and more.
 BATCH_ROWS = 256
 #: Bytes up to which a table is broadcast; its size is measured each time.
 SMALL = 12 << 20
@@ -23,17 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few rows in each Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (of at most spark.sql.execution.arrow.maxBytesPerBatch) in short pieces, to bound what Python adds."""
+    for batch in batches:
+        for first in range(0, max(1, batch.num_rows), BATCH_ROWS):
+            yield batch.slice(first, BATCH_ROWS)
 
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
-    """Apply a function to every Arrow batch of a DataFrame; no shuffle, one batch in memory."""
-    short_batches(df.sparkSession)
+    """Apply a function to short Arrow batches of a DataFrame; no shuffle, one batch in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = rows(batch)
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
@@ -46,10 +47,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own only where it names none (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; one of our own only in local mode (tests)."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "galleria-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "galleria-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

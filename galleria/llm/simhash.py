@@ -16,9 +16,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from galleria.llm.common import cut_lineage, map_batches, short_batches, shuffle_parts, small
+from galleria.llm.common import cut_lineage, map_batches, narrowed, shuffle_parts, small, texts_of, written
 
 #: Children of a node of the index, and fingerprints that are looked up together.
 FAN_OUT, TOGETHER = 8, 2048
@@ -157,8 +157,6 @@ def signed(x: int) -> int:
 
 def linked_in_buckets(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Links a, b of a spanning forest of each bucket's pairs within radius. Rows of a bucket meet in one task, sorted."""
-    short_batches(rows.sparkSession)
-
     def search(codes: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
         index = Index(codes.view(np.uint64), buckets)
         first, second = forest(len(codes), index.within(radius))
@@ -306,15 +304,14 @@ def common_keys(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def confirmed(edges: DataFrame, asked: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
-    """The edges a, b that are at least so alike; asked: u and the key (d, g) of its text's row in hashed (doc_id, h, text).
+    """The edges a, b (checkpointed) that are at least so alike; asked: u and the key (d, g) of its text's row in hashed
+    (doc_id, h, text).
 
-    Only texts of the edges' ends are moved.
+    Only texts of the edges' ends are moved: each once, and that of one end once more for each edge.
     """
-    short_batches(edges.sparkSession)
     ends = edges.select(F.col("a").alias("u")).unionByName(edges.select(F.col("b").alias("u"))).distinct()
     now = cut_lineage(asked.join(ends, "u", "left_semi"))
-    of = hashed.join(small(now), hashed["doc_id"].eqNullSafe(F.col("d")) & (hashed["h"] == F.col("g"))).select("u", "text")
-    of = cut_lineage(of.dropDuplicates(["u"]))
+    of = hashed.join(small(now), hashed["doc_id"].eqNullSafe(now["d"]) & (hashed["h"] == now["g"])).select("u", "text")
     with_x = of.select(F.col("u").alias("a"), F.col("text").alias("x")).join(small(edges), "a")
     pairs = with_x.join(of.select(F.col("u").alias("b"), F.col("text").alias("y")), "b")
 
@@ -325,13 +322,21 @@ def confirmed(edges: DataFrame, asked: DataFrame, hashed: DataFrame, least: floa
     return map_batches(pairs.select("a", "b", "x", "y"), rows, "a long, b long")
 
 
-def sharing(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
+SHARING = "a long, b long, key long, n int, pos int"
+
+
+def sharing(rows: DataFrame, low: int, high: int, least: float, rest: bool = False) -> DataFrame:
     """Pairs a, b of texts of different groups that share a key and can be alike, low to high - 1 places apart in its list.
 
-    rows: key, at (place in the list of the key's texts), u, r (group), n (shingles of the text), pos (of the key in the
-    text's order). A pair can be alike if its sizes allow it and enough of both texts comes from its first common key on.
+    rows: key, u, r (group), n (shingles of the text), pos (of the key in the text's order); a key's list is ordered by
+    u. A pair can be alike if its sizes allow it and enough of both texts comes from its first common key on. With rest,
+    the rows of lists that are longer than high come out too (u as a, with key, n and pos), for a later round.
     """
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 14)
+
+    def columns(a: np.ndarray, b: np.ndarray | None = None, *more: np.ndarray) -> pa.RecordBatch:
+        none = lambda kind: pa.nulls(len(a), kind)
+        key, n, pos = (pa.array(more[0]), *(pa.array(x.astype(np.int32)) for x in more[1:])) if more else (none(pa.int64()), none(pa.int32()), none(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(a), none(pa.int64()) if b is None else pa.array(b), key, n, pos], ["a", "b", "key", "n", "pos"])
 
     def compare(x: np.ndarray, new: int) -> Iterator[pa.RecordBatch]:
         key, u, r, n, pos = x
@@ -340,11 +345,24 @@ def sharing(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
             one, two = slice(i, len(key) - d), slice(i + d, len(key))
             y = np.flatnonzero((key[one] == key[two]) & (r[one] != r[two])) + i
             z = y + d
-            both, rest = n[y] + n[z], np.minimum(n[y] - pos[y], n[z] - pos[z])
-            can = (np.minimum(n[y], n[z]) >= least * np.maximum(n[y], n[z]) - 1e-6) & (rest >= least / (1 + least) * both - 1e-6)
+            both, from_here = n[y] + n[z], np.minimum(n[y] - pos[y], n[z] - pos[z])
+            can = (np.minimum(n[y], n[z]) >= least * np.maximum(n[y], n[z]) - 1e-6) & (from_here >= least / (1 + least) * both - 1e-6)
             if can.any():
                 a, b = u[y[can]], u[z[can]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield columns(np.minimum(a, b), np.maximum(a, b))
+        if rest and len(key) > high:
+            far = np.zeros(len(key), bool)  # rows with one of the same key high places before
+            far[high:] = key[high:] == key[:-high]
+            far[:new] = False
+            start = far & ~np.concatenate([[False], (key[1:] == key[:-1]) & far[:-1]])
+            if new:  # a list that was long already goes on: what stands before was given out
+                carried = key[new - 1] == key[new] and new > high and key[new - 1 - high] == key[new - 1]
+                start[new] &= not carried
+            out = far.copy()
+            for i in np.flatnonzero(start):
+                out[i - high : i] = True
+            if out.any():
+                yield columns(u[out], None, key[out], n[out], pos[out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, kept, size = np.zeros((5, 0), np.int64), [], 0
@@ -354,32 +372,44 @@ def sharing(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
             if size >= AT_ONCE:
                 x = np.concatenate([old, *kept], axis=1)
                 yield from compare(x, old.shape[1])
-                old, kept, size = x[:, 1 - high :], [], 0
+                old, kept, size = x[:, -high - 1 :], [], 0
         if size:
             yield from compare(np.concatenate([old, *kept], axis=1), old.shape[1])
 
-    sorted_rows = rows.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "at").select("key", "u", "r", "n", "pos")
-    found = cut_lineage(sorted_rows.mapInArrow(run, "a long, b long").distinct())
-    short_batches(rows.sparkSession)
-    return found
+    sorted_rows = rows.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "u").select("key", "u", "r", "n", "pos")
+    return sorted_rows.mapInArrow(run, SHARING)
+
 
+def merged(links_now: DataFrame, grouped: DataFrame) -> DataFrame:
+    """u and group after more links."""
+    before = grouped.where("u != group").select(F.col("u").alias("a"), F.col("group").alias("b"))
+    return cut_lineage(groups(links_now.unionByName(before)))
 
-def alike(shared: DataFrame, asked: DataFrame, hashed: DataFrame, start: DataFrame, least: float) -> DataFrame:
+
+def alike(keyed: DataFrame, asked: DataFrame, hashed: DataFrame, start: DataFrame, least: float) -> DataFrame:
     """u and group of the texts that a chain of confirmed links joins to others.
 
-    start: first candidates a, b. shared: key, at, m (texts of the key), u, n, pos. Every pair of texts that share a key is
-    compared in some round unless its texts are in one group by then, so the groups are those of all pairs.
+    start: first candidates a, b (checkpointed). keyed: u, n and keys (rarest first) of each text. Every pair of texts
+    that share a key is compared in some round unless its texts are in one group by then, so the groups are those of all
+    pairs.
     """
     grouped = cut_lineage(groups(confirmed(start, asked, hashed, least)))
-    low, high, largest = 1, FIRST_REACH, shared.agg(F.max("m")).first()[0] or 0
-    while low < largest:
-        placed = shared.where(F.col("m") > low).join(small(grouped), "u", "left").withColumn("r", F.coalesce("group", "u"))
-        links_now = cut_lineage(confirmed(sharing(placed, low, high, least), asked, hashed, least))
-        if not links_now.isEmpty():
-            before = grouped.where("u != group").select(F.col("u").alias("a"), F.col("group").alias("b"))
-            grouped = cut_lineage(groups(links_now.unionByName(before)))
+    placed = keyed.join(small(grouped), "u", "left").select("u", F.coalesce("group", "u").alias("r"), "n", F.posexplode("keys").alias("pos", "key"))
+    found = written(sharing(placed, 1, FIRST_REACH, least, rest=True), "near-pairs")
+    rest = found.where("b IS NULL").select("key", F.col("a").alias("u"), "n", "pos").distinct()
+    pairs, low, high = cut_lineage(found.where("b IS NOT NULL").select("a", "b").distinct()), FIRST_REACH, 2 * FIRST_REACH
+    while True:
+        if not pairs.isEmpty():
+            links_now = cut_lineage(confirmed(pairs, asked, hashed, least))
+            if not links_now.isEmpty():
+                grouped = merged(links_now, grouped)
+        placed = rest.join(small(grouped), "u", "left").withColumn("r", F.coalesce("group", "u"))
+        # Lists that are long enough and whose texts aren't all of one group by now.
+        open_keys = cut_lineage(placed.groupBy("key").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("m")).where((F.col("x") != F.col("y")) & (F.col("m") > low)).select("key"))
+        if open_keys.isEmpty():
+            return grouped
+        pairs = cut_lineage(sharing(narrowed(placed, open_keys, "key"), low, high, least).select("a", "b").distinct())
         low, high = high, 2 * high
-    return grouped
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, least: float = 0.8) -> DataFrame:
@@ -387,44 +417,54 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, leas
 
     A link holds if two texts share at least `least` of their five-word shingles, whatever their fingerprints. Links of
     fingerprints within radius, and of different texts of one fingerprint, are confirmed first; all further links are
-    found by the rarest shingles, of which two such texts share one. Texts of the same words are one. Wordless texts are
-    one group; of repeated rows one stays; null doc_ids come first in the order; no rows give no rows.
+    found by the rarest shingles, of which two such texts share one. Texts of the same words are one. Null, empty and
+    wordless texts are one group; texts may have any length; of repeated rows one stays; null doc_ids come first in the
+    order; columns that docs has besides stay as they are; no rows give no rows.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    common, counts = common_keys(hashed)
-    schema = "doc_id long, h long, fp long, u long, n int, keys array<long>"
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(batch)
         fps = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
-        us = np.array([xxhash.xxh64_intdigest(b" ".join(words_of(t))) for t in texts], np.uint64).view(np.int64)
-        every = [shingle_keys(t) for t in texts]
-        first = [prefix(k, common, counts, least).view(np.int64) for k in every]
-        columns = [batch.column("doc_id"), batch.column("h"), pa.array(fps), pa.array(us), pa.array([len(k) for k in every], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp", "u", "n", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps), pa.array(word_ids(texts))], ["doc_id", "h", "fp", "u"])
 
-    known = cut_lineage(map_batches(hashed, rows, schema))
+    known = cut_lineage(map_batches(hashed, prints, "doc_id long, h long, fp long, u long"))
     # One row for each text; texts of the same words have the same fingerprint and keys.
-    firsts = cut_lineage(known.groupBy("u").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    firsts = cut_lineage(known.groupBy("u").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("fp").alias("fp")))
     heads = cut_lineage(firsts.groupBy("fp").agg(F.min("u").alias("u")))
     near = links(heads.select("fp"), radius, blocks).distinct()
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("u").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("u").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = firsts.select("fp", F.col("u").alias("b")).join(heads.select("fp", F.col("u").alias("a")), "fp").where("a != b").select("a", "b")
     start = cut_lineage(near.unionByName(same))
-    of_key = Window.partitionBy("key")
-    keyed = firsts.select("u", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = keyed.withColumns({"at": F.row_number().over(of_key.orderBy("u")), "m": F.count("*").over(of_key)}).where("m > 1")
-    shared = cut_lineage(shared.select("key", "at", "m", "u", "n", "pos"))
+
+    common, counts = common_keys(hashed)
+
+    def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(batch)
+        every = [shingle_keys(t) for t in texts]
+        first = [prefix(k, common, counts, least).view(np.int64) for k in every]
+        return pa.RecordBatch.from_arrays([pa.array(word_ids(texts)), pa.array([len(k) for k in every], pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["u", "n", "keys"])
+
+    # Copies are told by their row; one text of each is enough.
+    copies = known.join(firsts.select("first"), known["doc_id"].eqNullSafe(F.col("first.doc_id")) & (known["h"] == F.col("first.h")), "left_anti")
+    copies = cut_lineage(copies.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
+    once = hashed.join(small(copies), hashed["doc_id"].eqNullSafe(copies["__d"]) & (hashed["h"] == copies["__h"]), "left_anti")
+    keyed = map_batches(once.select("text"), rarest, "u long, n int, keys array<long>")
     asked = firsts.select("u", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
-    grouped = alike(shared, asked, hashed, start, least)
+    grouped = alike(keyed, asked, hashed, start, least)
     stays = firsts.join(grouped, "u", "left").groupBy(F.coalesce("group", "u").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     # Fewer rows go than stay; they are few enough to be broadcast, or both sides are shuffled.
     gone = known.join(stays, known["doc_id"].eqNullSafe(stays["d"]) & (known["h"] == stays["g"]), "left_anti")
     gone = cut_lineage(gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
-    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")
     repeated = known.groupBy("doc_id", "h").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
+def word_ids(texts: list[str]) -> np.ndarray:
+    """A hash of each text's words."""
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words_of(t))) for t in texts], np.uint64).view(np.int64)
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
