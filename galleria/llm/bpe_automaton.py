@@ -7,7 +7,12 @@ the finished automaton are exactly the token sequences that the merge rules prod
 
 A state has tens of thousands of arcs, so they are not stored one by one: a state is kept as the difference to the one it
 was copied from (the arc it lost, and when). The states form a tree, and "has this state lost that arc" is an interval
-test in it. Transitions that have been looked up are kept in a table.
+test in it.
+
+Words are encoded byte by byte with a second table. Every prefix of a word has one path too, so after each byte exactly
+one token ends the path so far. What the next byte makes of this depends on the labels that are still being spelled and
+the tokens before them; each such set is a row of the table, compiled when it is first met: byte -> next row and the token
+that ends there. A word is one walk through the table; its path is read back from its end.
 """
 
 from __future__ import annotations
@@ -50,8 +55,8 @@ def split_words(text: str) -> list[str]:
     return [text[a:b] for _, (a, b) in SPLITTER.pre_tokenize_str(text)]
 
 
-#: Entries kept of the word table and the transition table of a worker; a full table starts anew.
-WORDS_KEPT, ARCS_KEPT = 300_000, 500_000
+#: Entries kept of a worker's tables of words, arcs and byte transitions; a full table starts anew.
+WORDS_KEPT, ARCS_KEPT, ROWS_KEPT = 300_000, 500_000, 100_000
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -72,13 +77,6 @@ class Automaton:
         self.labels: dict[int, bytes] = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.labels |= {i: token.encode() for token, i in added.items()}
         self.ids = {self.labels[i]: i for i in vocab.values()}
-        #: Trie of the labels: a node maps a byte to the next node, and -1 to the token that ends there.
-        self.trie: dict[int, dict | int] = {}
-        for label, i in sorted(self.ids.items()):
-            node = self.trie
-            for b in label:
-                node = node.setdefault(b, {})
-            node[-1] = i
         # States: 0 is the first; state k > 0 is a copy of source[k] that lost an arc in merge k.
         source, born = [0], [-1]
         leads_to: dict[int, int] = {self.ids[bytes([b])]: 0 for b in range(256) if bytes([b]) in self.ids}
@@ -88,7 +86,7 @@ class Automaton:
         for k, (left, right) in enumerate(merges):
             u, v, uv = vocab[left], vocab[right], vocab[left + right]
             if uv in self.made or u not in leads_to or v not in leads_to:
-                continue
+                raise ValueError(f"merge {k} ({left} {right}) makes a token again, or of one that no merge before it makes")
             state, after = leads_to[u], leads_to[v]
             source.append(state)
             born.append(k)
@@ -100,18 +98,53 @@ class Automaton:
         self.leads_to, self.born = leads_to, born
         self.enter, self.leave = self._intervals(source)
         self.arcs: dict[int, bool] = {}
+        self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        # A merge of tokens that no path has side by side, as earlier merges come first, never applies.
+        never: set[int] = set()
+        for uv, (u, v) in self.parts.items():
+            copy = self.lost[u << 32 | v]
+            if u in never or v in never or not self._reads(self.enter[source[copy]], u, v, born[copy]):
+                never.add(uv)
+        # Trie of the labels that paths can have: for each node its next nodes by byte, and the token that ends there or -1.
+        self.after: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for token in sorted(self.made.keys() - never):
+            node = 0
+            for b in self.labels[token]:
+                if b not in self.after[node]:
+                    self.after[node][b] = len(self.after)
+                    self.after.append({})
+                    self.ends.append(-1)
+                node = self.after[node][b]
+            self.ends[node] = token
+        self.lengths = {i: len(label) for i, label in self.labels.items()}
+        self._start_tables()
         self.four = {i: i.to_bytes(4, "little") for i in self.labels}
         self.words: dict[str, bytes] = {}
-        self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
+    def _start_tables(self) -> None:
+        #: Rows of the byte table: what is being spelled, as (node, token before it) pairs; byte -> (row, token).
+        self.rows: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.row_of = {self.rows[0]: 0}
+        self.table: list[dict[int, tuple[int, int]]] = [{}]
+
     @staticmethod
     def from_json(data: bytes) -> Automaton:
-        """From the JSON file of a byte-level tokenizer."""
+        """From the JSON file of a byte-level tokenizer; raises on settings that change what is encoded."""
         t = json.loads(data)
+        model, split, added = t["model"], t.get("pre_tokenizer") or {}, t.get("added_tokens") or []
+        wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        wrong += [k for k in ("normalizer", "post_processor") if t.get(k)]
+        wrong += [] if model.get("type", "BPE") == "BPE" else ["model"]
+        wrong += [] if split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) else ["pre_tokenizer"]
+        wrong += [] if (t.get("decoder") or {}).get("type") == "ByteLevel" else ["decoder"]
+        wrong += [a["content"] for a in added if a.get("single_word") or a.get("lstrip") or a.get("rstrip") or a.get("normalized")]
+        if wrong:
+            raise ValueError(f"settings of the tokenizer that are not supported: {', '.join(wrong)}")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in t["model"]["merges"]]
-        added = {a["content"]: a["id"] for a in t.get("added_tokens", [])}
-        return Automaton({k: v for k, v in t["model"]["vocab"].items() if k not in added}, merges, added)
+        special = {a["content"]: a["id"] for a in added}
+        return Automaton({k: v for k, v in model["vocab"].items() if k not in special}, merges, special)
 
     @staticmethod
     def _intervals(source: list[int]) -> tuple[list[int], list[int]]:
@@ -139,64 +172,62 @@ class Automaton:
             self._spines[got[0][0], side] = got
         return got
 
+    def _reads(self, at: int, last: int, token: int, before: int = 1 << 60) -> bool:
+        """Whether a state that `last` leads to (by its enter time) has an arc for `token` after the merges before one."""
+        for ending, _ in self._spine(last, 1):
+            for beginning, taken in self._spine(token, 0):
+                copy = self.lost.get(ending << 32 | beginning)
+                if copy is not None and self.born[copy] < before and self.born[copy] <= taken and self.enter[copy] <= at < self.leave[copy]:
+                    return False
+        return True
+
     def has_arc(self, last: int, token: int) -> bool:
         """Whether the state that `last` leads to has an arc for `token`."""
         key = last << 32 | token
         if (known := self.arcs.get(key)) is None:
-            at, known = self.enter[self.leads_to[last]], True
-            for ending, _ in self._spine(last, 1):
-                for beginning, taken in self._spine(token, 0):
-                    copy = self.lost.get(ending << 32 | beginning)
-                    if copy is not None and self.born[copy] <= taken and self.enter[copy] <= at < self.leave[copy]:
-                        known = False
-                        break
-                if not known:
-                    break
+            known = self._reads(self.enter[self.leads_to[last]], last, token)
             if len(self.arcs) >= ARCS_KEPT:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """The labels' one path that spells the word.
-
-        Longest labels are tried first. Each prefix has one path only, so a place from which no arc leads on is never
-        tried twice and the work is linear in the word's length.
-        """
-        whole = self.ids.get(word)
-        if whole is not None and whole in self.made:
-            return [whole]
-        n, trie, arcs, has_arc = len(word), self.trie, self.arcs, self.has_arc
-
-        path: list[int] = []
-        last, at = -1, 0
-        ends, choices = [], []
-        dead: set[int] = set()
-        while at < n:
-            if len(choices) == len(path):  # tokens that can be read from here and where they end, the longest last
-                node, to, options = trie, at, []
-                while to < n and (node := node.get(word[to])) is not None:
-                    to += 1
-                    if -1 in node:
-                        options.append((node[-1], to))
-                choices.append(options)
+    def _step(self, row: int, b: int) -> tuple[int, int]:
+        """The entry of the byte table: the labels that go on with the byte, and the one token that ends with it."""
+        going, token = [], -1
+        for node, before in self.rows[row]:
+            if (node := self.after[node].get(b)) is None:
+                continue
+            if (t := self.ends[node]) >= 0 and (before < 0 or self.has_arc(before, t)):
+                token = t
+            if self.after[node]:
+                going.append((node, before))
+        if token < 0:
+            raise ValueError(f"no path ends with byte {b}")
+        key = (*going, (0, token))
+        if (to := self.row_of.get(key)) is None:
+            if len(self.rows) >= ROWS_KEPT:
+                self._start_tables()
+                self.row_of[key], to = 1, 1
             else:
-                options = choices[-1]
-            while options:
-                token, end = options.pop()
-                if end not in dead and (last < 0 or (arcs[k] if (k := last << 32 | token) in arcs else has_arc(last, token))):
-                    path.append(token)
-                    ends.append(at)
-                    last, at = token, end
-                    break
-            else:  # from here no path leads on: take back the last token
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add(at)
-                path.pop()
-                choices.pop()
-                at = ends.pop()
-                last = path[-1] if path else -1
+                self.row_of[key] = to = len(self.rows)
+                self.table[row][b] = to, token
+            self.rows.append(key)
+            self.table.append({})
+        else:
+            self.table[row][b] = to, token
+        return to, token
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """The one path that spells the word: a walk through the byte table, then its tokens from the last to the first."""
+        row, last = 0, []
+        for b in word:
+            row, token = self.table[row].get(b) or self._step(row, b)
+            last.append(token)
+        path, at, lengths = [], len(word), self.lengths
+        while at:
+            path.append(last[at - 1])
+            at -= lengths[path[-1]]
+        path.reverse()
         return path
 
     def encode(self, text: str) -> bytes:

@@ -63,3 +63,52 @@ def test_awkward_rows(awkward, nothing):
     want = sorted((x or "") for (x,) in awkward.select("text").collect())
     assert sorted(r.decoded for r in out) == want
     assert B.encode_decode(nothing, PATH).count() == 0
+
+
+def plain_bpe(word, merges):
+    """Merges by rank until none applies."""
+    parts, rank = list(word), {m: i for i, m in enumerate(merges)}
+    while pairs := [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]:
+        first = parts[min(pairs)[1]], parts[min(pairs)[1] + 1]
+        out, i = [], 0
+        while i < len(parts):
+            if tuple(parts[i : i + 2]) == first:
+                out.append("".join(first))
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return parts
+
+
+def test_random_merges_against_plain_bpe(monkeypatch):
+    """Also words that equal a token which their merges don't make, and tables that start anew in the middle of a word."""
+    rng = random.Random(8)
+    monkeypatch.setattr(B, "ROWS_KEPT", 40)
+    for _ in range(150):
+        tokens, merges = list("abc"), []
+        for _ in range(rng.randrange(1, 14)):
+            m = rng.choice(tokens), rng.choice(tokens)
+            if "".join(m) not in tokens:
+                tokens.append("".join(m))
+                merges.append(m)
+        vocab = {c: i for i, c in enumerate([*B.byte_alphabet(), *tokens[3:]])}
+        a = B.Automaton(vocab, merges, {})
+        for word in [*tokens, *("".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(40))]:
+            assert [a.labels[t].decode() for t in a.encode_word(word.encode())] == plain_bpe(word, merges)
+
+
+def test_what_is_not_supported_raises():
+    vocab = {c: i for i, c in enumerate([*B.byte_alphabet(), "ab", "abc", "bc"])}
+    with pytest.raises(ValueError, match="again"):
+        B.Automaton(vocab, [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")], {})
+    with pytest.raises(ValueError, match="no merge before"):
+        B.Automaton(vocab, [("ab", "c")], {})
+    import json
+
+    with open(PATH) as f:
+        good = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": good["model"] | {"ignore_merges": True}}, {"added_tokens": [good["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not supported"):
+            B.Automaton.from_json(json.dumps(good | change).encode())
