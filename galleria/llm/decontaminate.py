@@ -41,7 +41,8 @@ def windows(items: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """Rows of a document's words: doc_id, h (of the text), words, pos, term (the word's hash)."""
+    """Rows of a document's words: doc_id, h (of the text), words, pos, term (the word's hash). Every document has a row
+    of pos 0."""
     parts = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("words"))
     # The outer form keeps Spark from computing the words a second time, to filter out empty arrays.
     return parts.select("doc_id", "h", "words", F.posexplode_outer("words").alias("pos", "word")).withColumn("term", F.xxhash64("word"))
@@ -51,12 +52,28 @@ def anchors(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """Adds to each window its two rarest terms by their counts in all documents: term1, at1, term2, at2 (null if alone)."""
     terms = asked.select("wid", F.posexplode("window").alias("at", "word")).select("wid", "at", F.xxhash64("word").alias("term"))
     distinct = cut_lineage(terms.select("term").distinct())
-    counts = tokens(docs).select("term").join(small(distinct), "term").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = terms.join(counts, "term", "left").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("r"))
+    counts = cut_lineage(tokens(docs).select("term").join(small(distinct), "term").groupBy("term").agg(F.count("*").alias("n")))
+    ranked = terms.join(small(counts), "term", "left").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("r"))
     first, second = F.element_at("r", 1), F.try_element_at("r", F.lit(2))
     return asked.join(ranked, "wid").select("wid", "len", "window", "items", first["term"].alias("term1"), first["at"].alias("at1"), second["term"].alias("term2"), second["at"].alias("at2"))
 
 
+def index(docs: DataFrame, items: DataFrame, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The windows of the items with their anchors, and the postings of the terms that they are looked up by.
+
+    Postings: term, doc_id, h, pos, for first terms the words around them (from place begin on), and n_words in one row of
+    each document (pos 0, whatever its term), so that the texts are cut into words once here and once to count terms.
+    """
+    asked = cut_lineage(anchors(docs, cut_lineage(windows(items))))
+    around = WINDOW - 1 + slop
+    wanted = cut_lineage(asked.select(F.col("term1").alias("term"), F.lit(True).alias("context")).unionByName(asked.where("term2 IS NOT NULL").select(F.col("term2").alias("term"), F.lit(False).alias("context"))).groupBy("term").agg(F.max("context").alias("context")))
+    begin = F.greatest(F.col("pos") - around, F.lit(0))
+    context = F.when(F.col("context"), F.slice("words", begin + 1, F.col("pos") - begin + around + 1))
+    n_words = F.when(F.col("pos") == 0, size_of(F.col("words")))
+    rows = tokens(docs).join(small(wanted), "term", "left").where(F.col("context").isNotNull() | (F.col("pos") == 0))
+    return asked, cut_lineage(rows.select("term", "doc_id", "h", "pos", F.col("context").isNotNull().alias("wanted"), begin.alias("begin"), context.alias("around"), n_words.alias("n_words")))
+
+
 def matches(docs: DataFrame, items: DataFrame, slop: int = 0, share: float = 0.8) -> DataFrame:
     """Where windows of the items occur in the documents.
 
@@ -64,15 +81,17 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, share: float = 0.8
     counted), items, kind. kind is exact for the whole window word by word. With slop, kind is proximity where the two
     rarest terms stand within slop words of their places and at least the given share of the window's distinct words lies
     around them.
+
+    Null and empty texts and items have no matches; repeated rows have the same ones, once for each; null doc_ids and
+    item_ids are kept as such; texts may have any length; columns besides doc_id, text, item_id aren't looked at; without
+    documents or items there are no rows.
     """
-    asked = cut_lineage(windows(items))
-    asked = cut_lineage(anchors(docs, asked))
-    around = WINDOW - 1 + slop
-    wanted = cut_lineage(asked.select(F.col("term1").alias("term"), F.lit(True).alias("context")).unionByName(asked.where("term2 IS NOT NULL").select(F.col("term2").alias("term"), F.lit(False).alias("context"))).groupBy("term").agg(F.max("context").alias("context")))
-    # The index: postings of the terms that windows are looked up by, with the words around those of first terms.
-    begin = F.greatest(F.col("pos") - around, F.lit(0))
-    context = F.when(F.col("context"), F.slice("words", begin + 1, F.col("pos") - begin + around + 1))
-    postings = cut_lineage(tokens(docs).join(small(wanted), "term").select("term", "doc_id", "h", "pos", begin.alias("begin"), context.alias("around")))
+    return found_in(*index(docs, items, slop), slop, share)
+
+
+def found_in(asked: DataFrame, rows: DataFrame, slop: int = 0, share: float = 0.8) -> DataFrame:
+    """`matches`, from the windows and postings of `index`."""
+    postings = rows.where("wanted")
     found = postings.where("around IS NOT NULL").join(small(asked), F.col("term") == F.col("term1")).select("doc_id", "h", "begin", "around", (F.col("pos") - F.col("at1")).alias("start"), "wid", "len", "window", "items", "term2", "at2")
     found = found.where(F.lit(slop > 0) | (F.col("start") >= 0))
     second = postings.select(F.col("term").alias("term2"), F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("pos2"))
@@ -107,7 +126,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`contamination`, with h, the hash of the text."""
-    hits = matches(docs, items).groupBy("doc_id", "h").agg(
+    asked, rows = index(docs, items)
+    hits = found_in(asked, rows).groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -118,7 +138,7 @@ def measured(docs: DataFrame, items: DataFrame) -> DataFrame:
         lambda a: a["n"],
     )
     counted = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), covered.alias("hit"), "items")
-    every = docs.select("doc_id", F.xxhash64("text").alias("h"), size_of(words(F.col("text"))).alias("n_words"))
+    every = rows.where("pos = 0").select("doc_id", "h", "n_words")
     joined = every.join(counted, every["doc_id"].eqNullSafe(counted["d"]) & every["h"].eqNullSafe(counted["g"]), "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
@@ -136,7 +156,8 @@ def measured(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
-    Rules as in `contamination`; repeated rows go or stay together.
+    Rules as in `contamination`: null and empty texts have no words and stay; repeated rows go or stay together; columns
+    that docs has besides stay as they are; without items all documents stay; no rows give no rows.
     """
     bad = cut_lineage(measured(docs, items).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h")).distinct())
-    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    return docs.join(small(bad), docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__h"]), "left_anti")
