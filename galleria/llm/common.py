@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Rows that Python looks at together. Texts can have 100,000 characters and more.
 BATCH_ROWS = 256
+#: Bytes of an Arrow batch; each task holds one on its way to Python and one on its way back.
+BATCH_BYTES = 4 << 20
 #: Bytes up to which a table is broadcast; its size is measured each time.
 SMALL = 12 << 20
 
@@ -23,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session hand at most BATCH_BYTES to Python at once; a lower limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches (of at most spark.sql.execution.arrow.maxBytesPerBatch) in short pieces, to bound what Python adds."""
     for batch in batches:
@@ -32,6 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
     """Apply a function to short Arrow batches of a DataFrame; no shuffle, one batch in memory."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from galleria.llm.chunks import Sizes, boundaries, code_points
-from galleria.llm.common import shuffle_parts, slices
+from galleria.llm.common import bound_batches, shuffle_parts, slices
 
 #: Chunk sizes in code points. A length fits one byte of the fingerprint.
 SIZES = Sizes(8, 32, 96)
@@ -93,6 +93,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the share of the own chunks, by length, that the edited text and the next document hold: 1 if both are empty, 0 if
     only the own text is. Null texts count as empty; repeated rows are documents of their own; no rows give no rows.
     """
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the row that waits for its next one: bucket, doc_id, text, chunks
         closed = -1
