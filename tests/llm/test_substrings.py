@@ -1,36 +1,83 @@
+import hashlib
+import re
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 from galleria.llm import substrings as U
-from galleria.llm.chunks import boundaries, code_points
+from galleria.llm.chunks import boundaries, code_points, scrambled
+
+
+def cut_text(t):
+    """Ends of chunks by the definition: at each place the gear hash of the last 32 characters, one after the other."""
+    points = [ord(c) for c in t]
+    gear = (scrambled(np.array(points, np.uint64)) >> np.uint64(32)).tolist() if points else []
+    bits, ends, start, h = U.SIZES.normal.bit_length() - 1, [], 0, 0
+    for i in range(len(points)):
+        h = ((h << 1) + gear[i]) % (1 << 32)
+        size = i + 1 - start
+        limit = 1 << (32 - bits - 1) if size < U.SIZES.normal else 1 << (32 - bits + 1)
+        left = len(points) - start
+        if left > U.SIZES.least and size >= U.SIZES.least and (h < limit or size == U.SIZES.most):
+            ends.append(i + 1)
+            start = i + 1
+    return ends + [len(points)] * (start < len(points))
 
 
 def by_brute_force(texts, least):
-    """Longest run of repeated chunks of each text, by plain loops."""
+    """Longest passage of each text, by plain loops."""
     cut = {}
     for t in set(texts):
-        ends = boundaries(code_points(t), U.SIZES)
-        cut[t] = [t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-    where = Counter(c for chunks in cut.values() for c in set(chunks))
-    copies, found = Counter(texts), []
+        ends = cut_text(t)
+        cut[t] = [(a, t[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    where = Counter(c for chunks in cut.values() for c in {c for _, c in chunks})
+    runs = {}
+    for t, chunks in cut.items():
+        found = []
+        for a, c in [*chunks, (0, None)]:
+            if where[c] > 1:
+                found.append((a, c))
+                continue
+            if (n := sum(min(U.WORDS, len(c.split())) for _, c in found)) >= min(U.RUN_WORDS, least):
+                runs.setdefault(t, []).append((n, found))
+            found = []
+    doubtful = {c for found in runs.values() for n, run in found if n < least for _, c in run}
+    windows, owners = {}, {}
+    for t, found in runs.items():
+        words = [(m.start(), m[0]) for m in re.finditer(r"\S+", t)]
+        for k, (_, run) in enumerate(found):
+            own = windows[t, k] = set()
+            for a, c in run:
+                if c in doubtful:
+                    at = next((i for i, (x, _) in enumerate(words) if x >= a), len(words))
+                    own |= {tuple(w for _, w in words[i : i + least]) for i in range(max(0, at - least + 1), at + 1) if i + least <= len(words)}
+            for w in own:
+                owners.setdefault(w, set()).add(t)
+    copies, out = Counter(texts), []
     for t in texts:
-        best = run = 0
-        for c in cut[t]:
-            run = run + len(c.split()) if where[c] > 1 else 0
-            best = max(best, run)
-        if copies[t] > 1 and len(t.split()) >= least:
-            best = len(t.split())
-        found.append(best if best >= least else None)
-    return found
+        kept = [n for k, (n, _) in enumerate(runs.get(t, ())) if n >= least or any(len(owners[w]) > 1 for w in windows[t, k])]
+        best = len(t.split()) if copies[t] > 1 and len(t.split()) >= least else max(kept, default=None)
+        out.append(best)
+    return out
+
+
+def test_boundaries_by_their_definition():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 15, 16, 17, 33, 500, 4000):
+        t = "".join(chr(c) for c in rng.choice([97, 98, 99, 32, 233, 0x6F22, 0x1F600], n))
+        assert boundaries(code_points(t), U.SIZES) == cut_text(t)
 
 
 def test_against_brute_force(spark, sf, awkward, nothing):
     for frame in (spark.read.parquet(f"{sf}/documents.parquet"), awkward):
         rows = [(r.doc_id, r.text or "") for r in frame.collect()]
-        got = sorted(((r.doc_id is not None, r.doc_id or 0, r.longest) for r in U.repeated_passages(frame).collect()))
+        out = U.repeated_passages(frame).collect()
+        got = sorted(((r.doc_id is not None, r.doc_id or 0, r.longest) for r in out))
         want = sorted((d is not None, d or 0, x) for (d, _), x in zip(rows, by_brute_force([t for _, t in rows], U.LEAST_WORDS), strict=True) if x)
         assert got == want
+        kept = {(r.doc_id, len(r.text or ""), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in U.dedup(frame).collect()}
+        assert {(r.doc_id, r.kept_chars, r.kept_sha256) for r in out} <= kept
     assert U.repeated_passages(nothing).count() == 0
 
 
@@ -50,3 +97,22 @@ def test_dedup_keeps_columns(awkward, nothing):
     assert out.columns == awkward.columns and out.count() == awkward.count()
     assert U.dedup(nothing).count() == 0
     assert xxhash.xxh3_64_intdigest(b"") >= 0
+
+
+def test_repeats_below_fifty_words_do_not_count(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    short, long = [word(40) for _ in range(40)], [word(55) for _ in range(40)]
+    rows = [f"{word(60)} {p} {word(60)}" for p in [*short, *short, *long, *long]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id for r in U.repeated_passages(docs).collect()}
+    assert not got & set(range(80)) and len(got) >= 78
+
+
+def test_tables_that_are_not_broadcast(spark, sf, monkeypatch):
+    from galleria.llm import common
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(str, U.repeated_passages(docs).collect()))
+    monkeypatch.setattr(common, "SMALL", -1)
+    assert sorted(map(str, U.repeated_passages(docs).collect())) == want
