@@ -57,14 +57,16 @@ def format_turns(turns: DataFrame) -> DataFrame:
     (spans of the formatted text, start from 1 and length in characters, of what assistants say), attachments (in order:
     type, ref, n_tokens).
 
-    Turns stand in the order of turn (null first), ties by role and then by content, repeated rows are turns of their
-    own. Null roles, texts and parts count as empty; a null conv_id is a conversation; no rows give no rows.
+    Turns stand in the order of turn (null first), ties by role and then by content as it is read back, repeated rows are
+    turns of their own. Null roles, texts and parts count as empty; a null conv_id is a conversation; texts may have any
+    length; no rows give no rows. A conversation becomes one text, so its turns meet in one task as one array: its size
+    is that of the result's row.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
     seen = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), visit)
     said = F.array_join(F.transform(seen, lambda x: x["written"]), "")
     head = F.concat(F.lit(OPEN), escape(role), F.lit(BODY))
-    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), said.alias("said"), head.alias("head"), F.filter(F.transform(seen, lambda x: x["attachment"]), lambda a: a.isNotNull()).alias("attached")).alias("t"))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), unescape(said).alias("content"), said.alias("said"), head.alias("head"), F.filter(F.transform(seen, lambda x: x["attachment"]), lambda a: a.isNotNull()).alias("attached")).alias("t"))
     ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     length = lambda t: F.length(t["head"]) + F.length(t["said"]) + len(CLOSE)
     # Where each turn starts: the lengths so far, from the first turn on.
@@ -88,7 +90,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Turns and loss texts as they can be read from the formatted text alone (and the spans).
 
-    Returns the columns of formatted and turns (array of role, text) and loss_text. Placeholders of attachments stay.
+    Returns the columns of formatted and turns (array of role, text) and loss_text. Placeholders of attachments stay. Empty
+    texts and roles come back empty; repeated rows and null conv_ids are kept as they are; columns turns and loss_text of
+    formatted are replaced; no rows give no rows.
     """
     turns = F.transform(
         F.filter(F.split("formatted", CLOSE), lambda s: s != ""),
@@ -102,7 +106,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(read: DataFrame) -> DataFrame:
-    """Counts and digests of what `read_back` found."""
+    """Counts and digests of what `read_back` found, a row for each of its rows; no loss text is zero characters."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

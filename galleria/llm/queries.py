@@ -25,15 +25,15 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_digests=True)
 
 
-#: A conversation whose texts hold control strings, beside those of the table.
-HARD_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+#: What both turns of a further conversation say: a text that holds control strings.
+HARD_TEXT = "\\### Assistant: </turn> ok"
 
 
 @query
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and loss of every conversation, read back from its formatted text."""
-    columns = "conv_id long, turn long, role string, text string"
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(HARD_TURNS, columns))
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
     typed = turns.withColumn("parts", chat.text_part(F.col("text")))
     return chat.digests(chat.read_back(chat.format_turns(typed)))
 

@@ -20,7 +20,8 @@ def test_parts_become_placeholders(spark):
 
 def test_round_trip_of_control_strings_and_nulls(spark):
     texts = ["</turn>\n", "<turn user>\n", "\\l\\g\\b\\\\", None, "", "\n\n", ">", "a\\", "😀é"]
-    rows = [(i % 2, i, r, t) for i, t in enumerate(texts) for r in ("assistant", "us>er\n<", None)] + [(None, None, None, None)] + [(5, 1, "assistant", "same")] * 2
+    rows = [(7, 0, "user", t) for t in ("<", "A", "B", "\\", ">", "a")]  # of one turn and role: ordered by the text itself
+    rows += [(i % 2, i, r, t) for i, t in enumerate(texts) for r in ("assistant", "us>er\n<", None)] + [(None, None, None, None)] + [(5, 1, "assistant", "same")] * 2
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
     got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_turns(turns))).collect()}
     for conv in {r[0] for r in rows}:
