@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleria.functions.vectors import cosine
+from galleria.operators.metrics import exact_percentiles
 
 PLACES = 6
 
@@ -23,19 +24,38 @@ def genuine_pairs(samples: DataFrame) -> DataFrame:
 def impostor_pairs(samples: DataFrame, per_sample: int = 4, buckets: int | None = None) -> DataFrame:
     """Scores of a fixed sample of pairs of different persons: a, b, score.
 
-    Each sample draws partners by hashed places on a ring: it is paired with those that follow it in the order of a hash,
-    so the number of pairs grows with the samples only, and every run draws the same ones.
+    Samples are dealt by a hash of their id into as many buckets as give about 2 * per_sample of them each, and are paired
+    inside their bucket, so about per_sample pairs a sample are drawn: their number grows with the samples only. The
+    number of buckets comes from a count of the samples; every run draws the same pairs.
     """
     n = buckets or max(1, samples.count() // (2 * per_sample))
-    x = samples.select(F.col("sample_id").alias("a"), F.col("person_id").alias("p"), F.col("embedding").alias("u"), F.pmod(F.xxhash64("sample_id"), F.lit(n)).alias("k"))
-    y = samples.select(F.col("sample_id").alias("b"), F.col("person_id").alias("q"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("sample_id"), F.lit(n)).alias("k"))
+    bucket = F.conv(F.substring(F.md5(F.col("sample_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % n
+    x = samples.select(F.col("sample_id").alias("a"), F.col("person_id").alias("p"), F.col("embedding").alias("u"), bucket.alias("k"))
+    y = samples.select(F.col("sample_id").alias("b"), F.col("person_id").alias("q"), F.col("embedding").alias("v"), bucket.alias("k"))
     return x.join(y, "k").where("a < b AND p <> q").select("a", "b", F.round(cosine(F.col("u"), F.col("v")), PLACES).alias("score"))
 
 
+def negative_at(pairs: DataFrame, share: float = 0.05) -> DataFrame:
+    """For each sample how many impostor scores it has, the largest, and the one at place int(share * n) from the top.
+
+    pairs: a, b, score; both ends count. Ties don't matter, as only scores are returned.
+    """
+    both = pairs.select(F.explode(F.array("a", "b")).alias("sample_id"), "score")
+    mine = Window.partitionBy("sample_id")
+    ranked = both.withColumns({"place": F.row_number().over(mine.orderBy(F.desc("score"))), "n": F.count("*").over(mine)})
+    return ranked.groupBy("sample_id").agg(F.max("n").alias("n"), F.max("score").alias("largest"), F.max(F.when(F.col("place") == F.floor(F.col("n") * share) + 1, F.col("score"))).alias("at_share"))
+
+
+def drawn(samples: DataFrame, n: int = 100) -> DataFrame:
+    """n samples in an order that looks random and is the same in every run: by a hash of the id, then the id."""
+    return samples.orderBy(F.md5(F.col("sample_id").cast("string").cast("binary")), "sample_id").limit(n)
+
+
 def describe(rows: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Count, mean, population deviation, extremes and exact percentiles."""
     points = (5, 25, 50, 75, 95, 99)
-    return rows.groupBy(*(by or [])).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"), *[F.percentile(score, F.lit(p / 100)).alias(f"p{p}") for p in points])
+    found = exact_percentiles(rows, by or [], score, [p / 100 for p in points])
+    return found.select(*(by or []), "n", "mean", "std", "min", "max", *[F.col(f"p{p:02d}").alias(f"p{p}") for p in points])
 
 
 def curve(pairs: DataFrame, low: int = 30, high: int = 74) -> DataFrame:

@@ -2,14 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation (rank (n - 1) * p), and mean and population deviation."""
+    """Exact percentiles with linear interpolation (rank (n - 1) * p), and mean and population deviation.
+
+    For groups of bounded size, such as the last rows of a key; `exact_percentiles` is for others.
+    """
     return rows.groupBy(*by).agg(F.count(value).alias("n"), *[F.coalesce(F.percentile(value, F.lit(p)), F.lit(0.0)).alias(f"p{round(p * 100):02d}") for p in points], F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
+def _marked(df: DataFrame, by: list[str]) -> DataFrame:
+    """The keys under other names, so that both sides of a join can be told apart."""
+    return df.withColumnsRenamed({c: f"__{c}" for c in by})
+
+
+def _same(by: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, points: list[float], accuracy: int = 10_000) -> DataFrame:
+    """The same columns as `percentiles` for groups of any size: no task holds a group's values.
+
+    A sketch brackets each percentile to a few of 10,000 parts of its group (`accuracy`); one more pass counts what lies
+    below the brackets and the values inside, and the ranks are picked from these counts. The result is exact.
+    """
+    v, margin = F.col(value).cast("double"), 2 / accuracy
+    sketch = lambda side: F.percentile_approx(v, [min(1.0, max(0.0, p + side * margin)) for p in points], accuracy)
+    groups = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), sketch(-1).alias("low"), sketch(1).alias("high"))
+    brackets = groups.select(*by, "n", F.posexplode(F.arrays_zip("low", "high")).alias("i", "b")).select(*by, "n", "i", "b.low", "b.high")
+    known = rows.where(v.isNotNull()).select(*by, v.alias("v"))
+    placed = known.join(_marked(brackets, by), _same(by)).select(*by, "n", "i", "v", F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0).alias("side"))
+    # All that lies below a bracket is one row, all above another: their largest and smallest value are next to it.
+    counts = placed.groupBy(*by, "n", "i", "side", F.when(F.col("side") == 0, F.col("v")).alias("x")).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "i").orderBy("side", "x"))
+    ranked = counts.withColumn("upto", upto).withColumn("value", F.when(F.col("side") < 0, F.col("last")).otherwise(F.col("first")))
+    p = F.element_at(F.array(*map(F.lit, points)), F.col("i") + 1)
+    rank = (F.col("n") - 1) * p
+    at = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("value")))
+    low, high = F.floor(rank), F.ceil(rank)
+    picked = ranked.groupBy(*by, "i").agg(at(low).alias("a"), at(high).alias("b"), F.max(rank - low).alias("part"))
+    one = picked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == k, F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))).alias(f"p{round(x * 100):02d}") for k, x in enumerate(points)])
+    joined = groups.join(_marked(one, by), _same(by), "left")
+    return joined.select(*by, "n", *[F.coalesce(f"p{round(x * 100):02d}", F.lit(0.0)).alias(f"p{round(x * 100):02d}") for x in points], "mean", "std", "min", "max")
+
+
 def last_n(rows: DataFrame, by: list[str], order: list[Column], n: int = 60) -> DataFrame:
     """The last n rows of each key. The window's limit is pushed below its shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -10,20 +10,20 @@ from galleria.plans.registry import query
 
 COSINE = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0"
 PAIRS = f"WITH pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.label AS BIGINT) AS person_id, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) "
-#: Impostors of the queries: samples whose ids differ by the label's number of steps, drawn by a rule that SQL has too.
-ALL = f"WITH pairs AS (SELECT a.label = b.label AS genuine, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = b.vec_id % 25 AND a.vec_id < b.vec_id) "
-CURVE = ALL + """, t AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(5, 46) AS r(i)),
+#: Impostors are paired inside hash buckets of about eight samples.
+DRAWN = f"""WITH k AS (SELECT *, CAST('0x' || left(md5(CAST(vec_id AS VARCHAR)), 8) AS UBIGINT) % (SELECT greatest(1, count(*) // 8) FROM embeddings) AS k FROM embeddings),
+impostors AS (SELECT a.vec_id AS a, b.vec_id AS b, {COSINE} AS score FROM k a JOIN k b ON a.k = b.k AND a.vec_id < b.vec_id AND a.label <> b.label) """
+CURVE = DRAWN + f""", pairs AS (SELECT false AS genuine, score FROM impostors UNION ALL SELECT true, {COSINE} FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
+t AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(5, 46) AS r(i)),
 roc AS (SELECT threshold, CAST(count_if(genuine AND score >= threshold) AS BIGINT) AS tp, CAST(count_if(genuine AND score < threshold) AS BIGINT) AS fn, CAST(count_if(NOT genuine AND score >= threshold) AS BIGINT) AS fp, CAST(count_if(NOT genuine AND score < threshold) AS BIGINT) AS tn FROM pairs, t GROUP BY threshold),
 curve AS (SELECT *, tp / (tp + fn) AS tar, fp / (fp + tn) AS far, fn / (tp + fn) AS frr FROM roc) """
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within residues of the id: all scores of a partition of the samples that doesn't depend on persons."""
-    g = gallery(spark, d).withColumn("r", F.col("sample_id") % 25)
-    scored = E.genuine_pairs(g.select("sample_id", F.col("r").alias("person_id"), "embedding"))
-    label = g.select("sample_id", F.col("person_id").alias("label"))
-    both = scored.join(label.withColumnRenamed("sample_id", "a").withColumnRenamed("label", "la"), "a").join(label.withColumnRenamed("sample_id", "b").withColumnRenamed("label", "lb"), "b")
-    return both.select((F.col("la") == F.col("lb")).alias("genuine"), (F.col("score") + 0.0).alias("score"))
+    """All genuine pairs and the drawn impostor pairs."""
+    g = gallery(spark, d)
+    both = E.genuine_pairs(g).select(F.lit(True).alias("genuine"), "score").unionByName(E.impostor_pairs(g).select(F.lit(False).alias("genuine"), "score"))
+    return both.select("genuine", (F.col("score") + 0.0).alias("score"))
 
 
 @query(PAIRS + "SELECT * FROM pairs")
@@ -31,11 +31,19 @@ def pairwise_genuine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.genuine_pairs(gallery(spark, sf_dir)).select("a", "b", "person_id", (F.col("score") + 0.0).alias("score"))
 
 
-@query(PAIRS + """SELECT person_id, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, min(score) AS min, max(score) AS max, round(quantile_cont(score, 0.05), 6) AS p5, round(quantile_cont(score, 0.25), 6) AS p25,
-  round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.99), 6) AS p99 FROM pairs GROUP BY person_id""")
+POINTS = ", ".join(f"round(quantile_cont(s, 0.{p:02d}), 2) / 1000000 AS p{p}" for p in (5, 25, 50, 75, 95, 99))
+DESCRIBED = f"count(*) AS n, round(avg(s), 2) / 1000000 AS mean, round(stddev_pop(s), 2) / 1000000 AS std, min(s) / 1000000 AS min, max(s) / 1000000 AS max, {POINTS}"
+
+
+def described(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Scores have six places; in millionths, interpolated percentiles have two more and none falls on a half."""
+    found = E.describe(rows.withColumn("score", F.round(F.col("score") * 1000000)), by=by)
+    return found.select(*by, "n", *[(F.round(c, 2) / 1000000 + 0.0).alias(c) for c in ("mean", "std", "min", "max", "p5", "p25", "p50", "p75", "p95", "p99")])
+
+
+@query(PAIRS + f"SELECT person_id, {DESCRIBED} FROM (SELECT person_id, round(score * 1000000) AS s FROM pairs) GROUP BY person_id")
 def score_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.describe(E.genuine_pairs(gallery(spark, sf_dir)), by=["person_id"])
-    return rows.select("person_id", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "std", "min", "max", "p5", "p25", "p50", "p75", "p95", "p99")])
+    return described(E.genuine_pairs(gallery(spark, sf_dir)), ["person_id"])
 
 
 @query(PAIRS + """, both_ways AS (SELECT a AS sample_id, score FROM pairs UNION ALL SELECT b, score FROM pairs) SELECT sample_id, count(*) AS n, round(min(score), 6) AS low, floor(CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(*)) / 1000000 AS mean, round(max(score), 6) AS high FROM both_ways GROUP BY sample_id""")
@@ -65,7 +73,22 @@ def constrained_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("rule", "threshold", F.round("tar", 6).alias("tar"), F.round("far", 6).alias("far"))
 
 
-@query()
+@query(DRAWN + f"SELECT {DESCRIBED} FROM (SELECT round(score * 1000000) AS s FROM impostors)")
 def impostor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impostor scores by a fixed draw; the draw is by a hash that DuckDB doesn't have."""
-    return E.describe(E.impostor_pairs(gallery(spark, sf_dir)))
+    """Impostor scores by a fixed draw."""
+    return described(E.impostor_pairs(gallery(spark, sf_dir)), [])
+
+
+@query(DRAWN + """, both_ways AS (SELECT a AS sample_id, score FROM impostors UNION ALL SELECT b, score FROM impostors),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC) AS place, count(*) OVER (PARTITION BY sample_id) AS n FROM both_ways)
+  SELECT sample_id, max(n) AS n, max(score) AS largest, max(score) FILTER (WHERE place = floor(n * 0.05) + 1) AS at_share FROM ranked GROUP BY sample_id""")
+def top_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample's impostor scores: the largest, and the one at a twentieth from the top."""
+    rows = E.negative_at(E.impostor_pairs(gallery(spark, sf_dir)))
+    return rows.select("sample_id", "n", (F.col("largest") + 0.0).alias("largest"), (F.col("at_share") + 0.0).alias("at_share"))
+
+
+@query("SELECT vec_id AS sample_id FROM embeddings WHERE label <> 3 ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 100")
+def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred samples of other persons than one, drawn by a hash."""
+    return E.drawn(gallery(spark, sf_dir).where("person_id <> 3")).select("sample_id")

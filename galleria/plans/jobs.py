@@ -70,7 +70,7 @@ def job_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
 SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM e GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.95])
+    rows = M.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.95])
     return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "mean", "std")])
 
 
