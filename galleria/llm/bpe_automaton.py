@@ -9,10 +9,9 @@ A state has tens of thousands of arcs, so they are not stored one by one: a stat
 was copied from (the arc it lost, and when). The states form a tree, and "has this state lost that arc" is an interval
 test in it.
 
-Words are encoded byte by byte with a second table. Every prefix of a word has one path too, so after each byte exactly
-one token ends the path so far. What the next byte makes of this depends on the labels that are still being spelled and
-the tokens before them; each such set is a row of the table, compiled when it is first met: byte -> next row and the token
-that ends there. A word is one walk through the table; its path is read back from its end.
+Words are encoded with two tables. One is followed byte by byte: its states are the beginnings of labels, and each state
+tells which labels end there. The other holds the arcs that have been looked up, token to token. Every prefix of a word has
+one path, so at each byte exactly one label goes on from the path so far, and a word is one walk from left to right.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ import json
 import re
 import unicodedata
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,9 +55,8 @@ def split_words(text: str) -> list[str]:
     return [text[a:b] for _, (a, b) in SPLITTER.pre_tokenize_str(text)]
 
 
-#: Entries kept of a worker's tables of words, arcs and byte transitions; a full table starts anew.
-WORDS_KEPT, ARCS_KEPT, ROWS_KEPT = 300_000, 500_000, 100_000
-
+#: Entries kept of a worker's tables of words and of arcs; a full table starts anew.
+WORDS_KEPT, ARCS_KEPT = 200_000, 300_000
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -105,30 +104,17 @@ class Automaton:
             copy = self.lost[u << 32 | v]
             if u in never or v in never or not self._reads(self.enter[source[copy]], u, v, born[copy]):
                 never.add(uv)
-        # Trie of the labels that paths can have: for each node its next nodes by byte, and the token that ends there or -1.
-        self.after: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for token in sorted(self.made.keys() - never):
-            node = 0
-            for b in self.labels[token]:
-                if b not in self.after[node]:
-                    self.after[node][b] = len(self.after)
-                    self.after.append({})
-                    self.ends.append(-1)
-                node = self.after[node][b]
-            self.ends[node] = token
+        # Goto and failure tables over the bytes of all labels that paths can have.
+        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token in self.made.keys() - never:
+            label = self.labels[token]
+            self.matcher.add_word(label.decode("latin-1"), token)
+        self.matcher.make_automaton()
         self.lengths = {i: len(label) for i, label in self.labels.items()}
-        self._start_tables()
         self.four = {i: i.to_bytes(4, "little") for i in self.labels}
         self.words: dict[str, bytes] = {}
         self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def _start_tables(self) -> None:
-        #: Rows of the byte table: what is being spelled, as (node, token before it) pairs; byte -> (row, token).
-        self.rows: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.row_of = {self.rows[0]: 0}
-        self.table: list[dict[int, tuple[int, int]]] = [{}]
-
     @staticmethod
     def from_json(data: bytes) -> Automaton:
         """From the JSON file of a byte-level tokenizer; raises on settings that change what is encoded."""
@@ -191,42 +177,27 @@ class Automaton:
             self.arcs[key] = known
         return known
 
-    def _step(self, row: int, b: int) -> tuple[int, int]:
-        """The entry of the byte table: the labels that go on with the byte, and the one token that ends with it."""
-        going, token = [], -1
-        for node, before in self.rows[row]:
-            if (node := self.after[node].get(b)) is None:
-                continue
-            if (t := self.ends[node]) >= 0 and (before < 0 or self.has_arc(before, t)):
-                token = t
-            if self.after[node]:
-                going.append((node, before))
-        if token < 0:
-            raise ValueError(f"no path ends with byte {b}")
-        key = (*going, (0, token))
-        if (to := self.row_of.get(key)) is None:
-            if len(self.rows) >= ROWS_KEPT:
-                self._start_tables()
-                self.row_of[key], to = 1, 1
-            else:
-                self.row_of[key] = to = len(self.rows)
-                self.table[row][b] = to, token
-            self.rows.append(key)
-            self.table.append({})
-        else:
-            self.table[row][b] = to, token
-        return to, token
-
     def encode_word(self, word: bytes) -> list[int]:
-        """The one path that spells the word: a walk through the byte table, then its tokens from the last to the first."""
-        row, last = 0, []
-        for b in word:
-            row, token = self.table[row].get(b) or self._step(row, b)
-            last.append(token)
-        path, at, lengths = [], len(word), self.lengths
+        """The one path that spells the word.
+
+        The matcher is followed byte by byte and tells which labels end there. Every prefix of the word has one path, so one
+        of these labels has an arc from the token before it; it is the last token of the path so far. Nothing is taken
+        back: when the word ends, its tokens are read off from the last to the first.
+        """
+        arcs, lengths, last, done = self.arcs, self.lengths, [-1] * (len(word) + 1), -1
+        for end, token in self.matcher.iter(word.decode("latin-1")):
+            if end == done:
+                continue
+            before = last[end + 1 - lengths[token]]
+            if before < 0 or (arcs[k] if (k := before << 32 | token) in arcs else self.has_arc(before, token)):
+                last[end + 1], done = token, end
+        path, at = [], len(word)
         while at:
-            path.append(last[at - 1])
-            at -= lengths[path[-1]]
+            token = last[at]
+            if token < 0:
+                raise ValueError(f"no path spells {word!r}")
+            path.append(token)
+            at -= lengths[token]
         path.reverse()
         return path
 

@@ -85,7 +85,7 @@ def plain_bpe(word, merges):
 def test_random_merges_against_plain_bpe(monkeypatch):
     """Also words that equal a token which their merges don't make, and tables that start anew in the middle of a word."""
     rng = random.Random(8)
-    monkeypatch.setattr(B, "ROWS_KEPT", 40)
+    monkeypatch.setattr(B, "ARCS_KEPT", 40)
     for _ in range(150):
         tokens, merges = list("abc"), []
         for _ in range(rng.randrange(1, 14)):
