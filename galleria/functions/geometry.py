@@ -55,6 +55,11 @@ def decode_distances(cx: Column, cy: Column, stride: Column, left: Column, top:
     return F.struct((cx - left * stride).alias("x1"), (cy - top * stride).alias("y1"), (cx + right * stride).alias("x2"), (cy + bottom * stride).alias("y2"))
 
 
+def decode_points(cx: Column, cy: Column, stride: Column, offsets: Column) -> Column:
+    """Landmarks from their offsets to an anchor, in strides. offsets: array of [x, y]."""
+    return F.transform(offsets, lambda p: F.array(cx + p[0] * stride, cy + p[1] * stride))
+
+
 def _prior_grid(stride: int, sizes: tuple[int, ...], n: int, size: int) -> Column:
     cells = F.sequence(F.lit(0), F.lit(n * n * len(sizes) - 1))
     side = lambda i: F.element_at(F.array(*[F.lit(s / size) for s in sizes]), (i % len(sizes) + 1).cast("int"))
@@ -75,6 +80,11 @@ def decode_offsets(p: Column, dx: Column, dy: Column, dw: Column, dh: Column) ->
     return F.struct(clip(cx - w / 2).alias("x1"), clip(cy - h / 2).alias("y1"), clip(cx + w / 2).alias("x2"), clip(cy + h / 2).alias("y2"))
 
 
+def decode_point_offsets(p: Column, offsets: Column) -> Column:
+    """Landmarks from a prior and their predicted offsets; they may lie outside the image. offsets: array of [x, y]."""
+    return F.transform(offsets, lambda o: F.array(p["cx"] + o[0] * VARIANCES[0] * p["w"], p["cy"] + o[1] * VARIANCES[0] * p["h"]))
+
+
 def scale_clip(b: Column, sx: Column, sy: Column, width: Column, height: Column) -> Column:
     """A box in the units of the original image, inside it."""
     x = lambda v: F.least(width, F.greatest(F.lit(0.0), v * sx))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleria.functions.identity import derived_id
 
@@ -91,6 +91,65 @@ def with_shards(parents: DataFrame, records: DataFrame) -> DataFrame:
     return keyed.join(records, "process_id", "left").withColumn("status", F.coalesce("status", F.lit("queued")))
 
 
+def job_progress(parents: DataFrame, records: DataFrame) -> DataFrame:
+    """Counters, states and rates of parents over the records of their shards, and the seconds they took.
+
+    parents: job_id, shards (array of structs with shard_index), started, completed, as_of (timestamps). records: process_id
+    and the columns of `aggregate_jobs`. A shard without a record is queued.
+    """
+    rolled = aggregate_jobs(with_shards(parents, records))
+    took = elapsed(F.col("started"), F.col("completed"), F.col("as_of"))
+    return rolled.drop("seconds", "rate").join(parents.select("job_id", took.alias("seconds")), "job_id").withColumn("rate", rate(F.col("enrolled"), F.col("seconds")))
+
+
+def of_type(records: DataFrame, kind: str) -> DataFrame:
+    """The process records of one type; a job asked for under another type isn't found."""
+    return records.where(F.col("process_type") == kind)
+
+
+def append_events(log: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
+    """The events that state changes add to a log: process_id, sequence, event_type, before, after, message.
+
+    log: process_id, sequence, after. changes: process_id, event_type, after, message and the columns of the order. The
+    sequence of each process goes on without gaps, and before is the state that the event before it left (null for the
+    first one).
+    """
+    last = log.groupBy("process_id").agg(F.max("sequence").alias("done"), F.max_by("after", "sequence").alias("state"))
+    w = Window.partitionBy("process_id").orderBy(*order)
+    joined = changes.join(last, "process_id", "left")
+    n = F.row_number().over(w)
+    before = F.when(n == 1, F.col("state")).otherwise(F.lag("after").over(w))
+    return joined.select("process_id", (F.coalesce("done", F.lit(0)) + n).cast("long").alias("sequence"), "event_type", before.alias("before"), "after", "message")
+
+
+def to_run(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """What becomes of job requests: idempotency_key, process_id, run (whether it has to run) and the stored result.
+
+    requests: idempotency_key, repeats count once. records: process_id, status, result. The process id is derived from the
+    key, so a request that comes again finds its record: one that has completed or failed isn't run again.
+    """
+    keyed = requests.select("idempotency_key").distinct().withColumn("process_id", derived_id("process", F.concat(F.lit("job:"), "idempotency_key")))
+    ended = F.coalesce(F.col("status").isin("completed", "completed_with_warnings", "failed"), F.lit(False))
+    return keyed.join(records.select("process_id", "status", "result"), "process_id", "left").select("idempotency_key", "process_id", (~ended).alias("run"), F.when(ended, F.col("result")).alias("result"))
+
+
+def split_by(index: Column, n: int, total: Column | None = None) -> Column:
+    """The part (0 to n - 1) of an item by its index: in turn, or in neighbouring runs of equal size where the total is given."""
+    if n <= 0:
+        raise ValueError("the number of parts must be positive")
+    return (index % n).cast("int") if total is None else F.floor(index * n / total).cast("int")
+
+
+def request_states(requests: DataFrame, faces: DataFrame) -> DataFrame:
+    """request_id, status and face_count: failed where the extraction failed (then no faces count), completed otherwise.
+
+    requests: request_id, extracted (boolean; null counts as failed). faces: request_id, a row for each face.
+    """
+    counts = faces.groupBy("request_id").agg(F.count("*").alias("n"))
+    ok = F.coalesce("extracted", F.lit(False))
+    return requests.join(counts, "request_id", "left").select("request_id", F.when(ok, "completed").otherwise("failed").alias("status"), F.when(ok, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("face_count"))
+
+
 def replace_shard(shards: Column, index: Column, status: Column) -> Column:
     """The array of shards with the status of one replaced."""
     return F.transform(shards, lambda s: F.when(s["shard_index"] == index, s.withField("status", status)).otherwise(s))
