@@ -55,3 +55,17 @@ def page_numbers(offset: Column, limit: Column, total: Column) -> Column:
         F.least(offset + 1, total).alias("first_row"),
         F.least(offset + limit, total).alias("last_row"),
     )
+
+
+def iso_utc(ts: Column) -> Column:
+    """A timestamp as ISO text in UTC, with microseconds only where there are any."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    micros = F.unix_micros(ts) % 1_000_000
+    part = F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
+
+
+def summary(faces: Column) -> Column:
+    """How many faces of a response are known and unknown, and the first three candidates of each. faces: status, candidates."""
+    known = F.size(F.filter(faces, lambda f: f["status"] == "known"))
+    return F.struct(known.alias("known"), (F.size(faces) - known).alias("unknown"), F.transform(faces, lambda f: F.slice(f["candidates"], 1, 3)).alias("shown"))

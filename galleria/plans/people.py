@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from galleria.functions.display import summary
 from galleria.operators import people as P
 from galleria.plans import tables as T
-from galleria.plans.registry import query
+from galleria.plans.registry import query, table
 
 COUNTED = T.SQL + """, listed AS (
   SELECT p.person_id, p.name, i.display_name, p.created_at, count(DISTINCT f.photo_id) AS photo_count, min(CAST(f.photo_id AS VARCHAR)) AS primary_photo_id
@@ -74,3 +75,14 @@ def process_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM photos WHERE status = 'active') AS photos, (SELECT count(*) FROM requests) AS requests""")
 def enrollment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.enrolment_stats(T.persons(spark, sf_dir), T.identities(spark, sf_dir), T.photos(spark, sf_dir), T.requests(spark, sf_dir))
+
+
+@query("""SELECT conv_id AS request_id, CAST(count_if(role = 'assistant') AS INTEGER) AS known, CAST(count_if(role <> 'assistant') AS INTEGER) AS unknown, string_agg(array_to_string([turn + k FOR k IN range(0, least(3, turn % 6))], '+'), ',' ORDER BY turn) AS shown FROM conversations GROUP BY conv_id""")
+def response_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known and unknown faces of each request, and the first three candidates of each face."""
+    turn = F.col("turn")
+    candidates = F.when(turn % 6 == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(turn % 6, F.lit(1)).cast("int") - 1), lambda k: turn + k))
+    face = F.struct("turn", F.when(F.col("role") == "assistant", "known").otherwise("unknown").alias("status"), candidates.alias("candidates"))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("request_id")).agg(F.sort_array(F.collect_list(face)).alias("faces"))
+    told = F.array_join(F.transform("s.shown", lambda c: F.array_join(c.cast("array<string>"), "+")), ",")
+    return rows.select("request_id", summary(F.col("faces")).alias("s")).select("request_id", "s.known", "s.unknown", told.alias("shown"))

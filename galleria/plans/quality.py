@@ -33,12 +33,32 @@ def vector_sample_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.out_of_step(left, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id")
 
 
-@query("""SELECT vec_id, CASE WHEN label % 3 = 1 THEN 'other key' WHEN label % 3 = 2 THEN 'missing key,no model version' ELSE '' END AS faults FROM embeddings""")
+#: Payloads of which each case breaks another rule; UID stands for the row's own id.
+UID = "'00000000-0000-4000-8000-' || lpad(CAST(vec_id AS VARCHAR), 12, '0')"
+PAYLOADS = f"""WITH p AS (SELECT vec_id, CASE WHEN vec_id % 11 = 3 THEN 'other' WHEN vec_id % 11 = 7 THEN 'x' ELSE {UID} END AS point_id, CASE WHEN vec_id % 11 = 7 THEN 'x' ELSE {UID} END AS sample, CASE WHEN vec_id % 11 = 4 THEN 'y' ELSE {UID} END AS photo,
+  CASE WHEN vec_id % 11 <> 8 THEN {UID} END AS person, CASE vec_id % 11 WHEN 5 THEN 'maybe' WHEN 9 THEN 'false' ELSE 'true' END AS active, CASE vec_id % 11 WHEN 2 THEN NULL WHEN 6 THEN ' ' ELSE 'm1' END AS model, vec_id % 11 = 1 AS more, CASE WHEN vec_id % 11 = 10 THEN embedding[1:3] ELSE embedding END AS v FROM embeddings) """
+UUID_SQL = "'^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$'"
+
+
+@query(PAYLOADS + f"""SELECT vec_id, concat_ws(',', CASE WHEN more THEN 'other key' END, CASE WHEN person IS NULL OR model IS NULL THEN 'missing key' END, CASE WHEN point_id <> sample THEN 'id differs' END,
+  CASE WHEN NOT regexp_matches(sample, {UUID_SQL}) THEN 'sampleId is no UUID' END, CASE WHEN NOT regexp_matches(photo, {UUID_SQL}) THEN 'photoId is no UUID' END, CASE WHEN NOT regexp_matches(coalesce(person, ''), {UUID_SQL}) THEN 'personId is no UUID' END,
+  CASE WHEN active NOT IN ('true', 'false') THEN 'active is no boolean' END, CASE WHEN trim(coalesce(model, '')) = '' THEN 'no model version' END, CASE WHEN len(v) <> 64 THEN 'dimension' END) AS faults FROM p""")
 def payload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("vec_id").cast("string"), 12, "0"))
-    fixed = [F.lit("sampleId"), uid, F.lit("photoId"), uid, F.lit("personId"), uid, F.lit("active"), F.lit("true")]
-    payload = F.when(F.col("label") % 3 == 1, F.create_map(*fixed, F.lit("modelVersion"), F.lit("m1"), F.lit("name"), F.lit("x"))).when(F.col("label") % 3 == 2, F.create_map(*fixed)).otherwise(F.create_map(*fixed, F.lit("modelVersion"), F.lit("m1")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(Q.payload_faults(payload, uid, F.col("embedding"), 64), ",").alias("faults"))
+    """Rules of vector payloads; every reason is reached."""
+    k, uid = F.col("vec_id") % 11, F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("vec_id").cast("string"), 12, "0"))
+    entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    entries = F.array(
+        entry("sampleId", F.when(k == 7, "x").otherwise(uid)),
+        entry("photoId", F.when(k == 4, "y").otherwise(uid)),
+        F.when(k != 8, entry("personId", uid)),
+        entry("active", F.when(k == 5, "maybe").when(k == 9, "false").otherwise("true")),
+        F.when(k != 2, entry("modelVersion", F.when(k == 6, " ").otherwise("m1"))),
+        F.when(k == 1, entry("name", F.lit("x"))),
+    )
+    point_id = F.when(k == 3, "other").when(k == 7, "x").otherwise(uid)
+    v = F.when(k == 10, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    faults = Q.payload_faults(F.map_from_entries(F.array_compact(entries)), point_id, v, 64)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(faults, ",").alias("faults"))
 
 
 @query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'embeddings', count(*) FROM embeddings")

@@ -73,3 +73,9 @@ def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform(V.doubles(F.col("embedding")), lambda x: x * 3.5)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.l2_normalize(scaled)).alias("place", "x")).select("vec_id", F.col("place").cast("long").alias("place"), (F.round("x", 6) + 0.0).alias("value"))
+
+
+@query()
+def recognize_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by bands of random projections; its recall against the exact search is measured in the tests."""
+    return T.approximate_topk(probes(spark, sf_dir), gallery(spark, sf_dir), 64, K, similarity=THRESHOLD).select("query_id", "sample_id", "score", F.col("rank").cast("long").alias("rank"))

@@ -96,3 +96,8 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = people.agg(F.count("*").alias("n"))
     rows = people.select((F.col("c_nationkey") * 10).alias("offset")).distinct().join(F.broadcast(total))
     return rows.select("offset", D.page_numbers(F.col("offset"), F.lit(20), F.col("n")).alias("p")).select("offset", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("page", "pages", "first_row", "last_row")])
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS at FROM events""")
+def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", D.iso_utc(F.col("ts").cast("timestamp")).alias("at"))

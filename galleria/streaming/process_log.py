@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -66,20 +67,67 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_each_batch(stream: DataFrame, target: str, checkpoint: str, apply):
-    """Run a stream whose batches are merged into a table by apply(existing or None, batch); replayed batches change
-    nothing, as the table names the last batch that it holds."""
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the class of its paths."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Complete versions of a table, in order. The last one is the table."""
+    fs, where = _files(spark, target)
+    if not fs.exists(where(target)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(where(target))]
+    found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+    return sorted(n for n in found if fs.exists(where(f"{target}/v={n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table that `upsert_each_batch` keeps, None before its first batch."""
+    known = versions(spark, target)
+    return spark.read.parquet(f"{target}/v={known[-1]}") if known else None
+
+
+def upsert_each_batch(stream: DataFrame, target: str, checkpoint: str, apply: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    """Run a stream whose batches are merged into a table by apply(existing or None, batch).
+
+    Each batch writes the next version of the table and then removes those before the last one, which a reader may still
+    have open. apply merges by the rows' keys, and no batch is skipped: one that comes again, with more rows perhaps, is
+    merged again and adds what is new. A version that wasn't finished has no mark and is written anew.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        marker = f"{target}/batch={batch_id}"
-        hadoop = spark._jsc.hadoopConfiguration()
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(hadoop)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{marker}/_SUCCESS")):
-            return
-        before = f"{target}/batch={batch_id - 1}"
-        existing = spark.read.parquet(before) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{before}/_SUCCESS")) else None
-        apply(existing, batch).write.mode("overwrite").parquet(marker)
+        known = versions(spark, target)
+        following = known[-1] + 1 if known else 0
+        apply(current(spark, target), batch).write.mode("overwrite").parquet(f"{target}/v={following}")
+        fs, where = _files(spark, target)
+        for old in known[:-1]:
+            fs.delete(where(f"{target}/v={old}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+CANCELLED = "cancelled between batches"
+
+
+def cancellable(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], cancelled: Callable[[], bool]) -> bool:
+    """Run step on each batch of what is there until cancelled() holds before one; whether it went to the end.
+
+    The batch before which it ends isn't begun, so a later run goes on with it.
+    """
+
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        if cancelled():
+            raise RuntimeError(CANCELLED)
+        step(batch, batch_id)
+
+    query = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if CANCELLED not in str(e):
+            raise
+        return False
+    return True

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir); elsewhere only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "galleria-streams")
+    """A new folder in the one that all executors share (spark.checkpoint.dir); one of our own only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "galleria-streams")
     return f"{base}/{uuid.uuid4().hex}"
 
 
