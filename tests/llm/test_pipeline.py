@@ -26,6 +26,19 @@ def test_stages_and_result(spark, sf, tmp_path):
             assert (x ^ y).bit_count() > 6 or simhash.similarity(a, b) < 0.8
 
 
+def test_nothing_and_clashing_columns(spark, sf, nothing):
+    empty = nothing.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ("h", "u", "fp", "g", "d", "group", "template", "leaf", "score", "term", "pos", "words", "__d", "__h", "__drop", "__doc", "copied")
+    clash = docs.withColumns({c: F.lit(7) for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+        out = stage(spark, clash, sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == clash.columns and out.where(" OR ".join(f"{c} <> 7" for c in names)).isEmpty()
+        assert 0 < out.count() <= 60
+
+
 def test_awkward_documents(spark, sf, awkward):
     docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
