@@ -28,8 +28,10 @@ AT_ONCE = 1 << 16
 MOST = 2048
 #: Texts that tell which shingles are common, and how many of those are told apart.
 SAMPLE, COMMON = 8000, 100_000
-#: Neighbours of a shared key compared in the first round, one more than that; each further round doubles it.
-FIRST_REACH = 8
+#: Neighbours of a shared key compared in the first round, one more than that; each further round reaches so much wider.
+FIRST_REACH, WIDER = 8, 4
+#: Links that one task takes where they are joined to components.
+EDGES_A_PART = 250_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -205,11 +207,17 @@ def links(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
     return linked_in_buckets(rest, ["m", "k"], radius).unionByName(linked_in_buckets(hot, ["m", "k", "j", "l"], radius))
 
 
+def parts_for(rows: int) -> int:
+    """Partitions of a narrow table of so many rows: few rows don't need as many tasks and files as the corpus."""
+    return max(1, -(-rows // EDGES_A_PART))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Members (node, root) of the components of edges (a, b), root their smallest member, by alternating stars.
 
     Every round lets the neighbours of a node link to the smallest one among them: first the larger neighbours, then the
-    smaller ones. All rows stay in DataFrames; each round is written to the checkpoint folder.
+    smaller ones. All rows stay in DataFrames, in as many partitions as their number asks for; each round is written to the
+    checkpoint folder.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -217,19 +225,27 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     before, now = None, state(edges)
     while now != before:
+        k = parts_for(now[0])
+        edges = edges.coalesce(k)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(k)
+        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").coalesce(k).distinct().coalesce(k)
+        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")).coalesce(k)
         small = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        edges = cut_lineage(small.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct())
+        edges = cut_lineage(small.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").coalesce(k).distinct().coalesce(k))
         before, now = now, state(edges)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """A narrow table, checkpointed and in as many partitions as its rows ask for."""
+    df = cut_lineage(df)
+    return df.coalesce(parts_for(df.count()))
+
+
 def groups(edges: DataFrame, node: str = "u") -> DataFrame:
     """Node and group (the same node for all that are linked) of the nodes that edges link."""
-    found = cut_lineage(components(edges))
+    found = components(edges)
     return found.select(F.col("node").alias(node), F.col("root").alias("group")).unionByName(found.select(F.col("root").alias(node), F.col("root").alias("group")).distinct())
 
 
@@ -309,6 +325,7 @@ def confirmed(edges: DataFrame, asked: DataFrame, hashed: DataFrame, least: floa
 
     Only texts of the edges' ends are moved: each once, and that of one end once more for each edge.
     """
+    edges = edges.coalesce(parts_for(edges.count()))
     ends = edges.select(F.col("a").alias("u")).unionByName(edges.select(F.col("b").alias("u"))).distinct()
     now = cut_lineage(asked.join(ends, "u", "left_semi"))
     of = hashed.join(small(now), hashed["doc_id"].eqNullSafe(now["d"]) & (hashed["h"] == now["g"])).select("u", "text")
@@ -383,7 +400,7 @@ def sharing(rows: DataFrame, low: int, high: int, least: float, rest: bool = Fal
 def merged(links_now: DataFrame, grouped: DataFrame) -> DataFrame:
     """u and group after more links."""
     before = grouped.where("u != group").select(F.col("u").alias("a"), F.col("group").alias("b"))
-    return cut_lineage(groups(links_now.unionByName(before)))
+    return compact(groups(links_now.unionByName(before)))
 
 
 def alike(keyed: DataFrame, asked: DataFrame, hashed: DataFrame, start: DataFrame, least: float) -> DataFrame:
@@ -393,23 +410,24 @@ def alike(keyed: DataFrame, asked: DataFrame, hashed: DataFrame, start: DataFram
     that share a key is compared in some round unless its texts are in one group by then, so the groups are those of all
     pairs.
     """
-    grouped = cut_lineage(groups(confirmed(start, asked, hashed, least)))
+    grouped = compact(groups(confirmed(start, asked, hashed, least)))
     placed = keyed.join(small(grouped), "u", "left").select("u", F.coalesce("group", "u").alias("r"), "n", F.posexplode("keys").alias("pos", "key"))
     found = written(sharing(placed, 1, FIRST_REACH, least, rest=True), "near-pairs")
     rest = found.where("b IS NULL").select("key", F.col("a").alias("u"), "n", "pos").distinct()
-    pairs, low, high = cut_lineage(found.where("b IS NOT NULL").select("a", "b").distinct()), FIRST_REACH, 2 * FIRST_REACH
+    pairs, low, high = compact(found.where("b IS NOT NULL").select("a", "b").distinct()), FIRST_REACH, WIDER * FIRST_REACH
     while True:
         if not pairs.isEmpty():
-            links_now = cut_lineage(confirmed(pairs, asked, hashed, least))
+            links_now = compact(confirmed(pairs, asked, hashed, least))
             if not links_now.isEmpty():
                 grouped = merged(links_now, grouped)
-        placed = rest.join(small(grouped), "u", "left").withColumn("r", F.coalesce("group", "u"))
-        # Lists that are long enough and whose texts aren't all of one group by now.
-        open_keys = cut_lineage(placed.groupBy("key").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("m")).where((F.col("x") != F.col("y")) & (F.col("m") > low)).select("key"))
+        placed = written(compact(rest).join(small(grouped), "u", "left").withColumn("r", F.coalesce("group", "u")).drop("group"), "near-rest")
+        # Lists that are long enough and whose texts aren't all of one group by now; only these go on.
+        open_keys = compact(placed.groupBy("key").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("m")).where((F.col("x") != F.col("y")) & (F.col("m") > low)).select("key"))
         if open_keys.isEmpty():
             return grouped
-        pairs = cut_lineage(sharing(narrowed(placed, open_keys, "key"), low, high, least).select("a", "b").distinct())
-        low, high = high, 2 * high
+        going = narrowed(placed, open_keys, "key")
+        pairs = compact(sharing(going, low, high, least).select("a", "b").distinct())
+        rest, low, high = going.select("key", "u", "n", "pos"), high, WIDER * high
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, least: float = 0.8) -> DataFrame:
