@@ -75,7 +75,8 @@ def confirmed(docs: DataFrame, chunks: DataFrame, candidates: DataFrame, least_w
     firsts = chunks.groupBy("h").agg(F.min("doc_id").alias("first"))
     asked = cut_lineage(of_text.join(firsts, "h").select(F.col("h").alias("g"), "first", "runs", F.flatten("starts").alias("places"), F.transform("starts", F.size).alias("sizes")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    owned = texts.join(small(asked), (texts["h"] == asked["g"]) & texts["doc_id"].eqNullSafe(asked["first"])).select("h", "text", "runs", "places", "sizes")
+    # The number of texts asked for grows with the corpus, so both sides are shuffled at every size.
+    owned = texts.join(asked, (texts["h"] == asked["g"]) & texts["doc_id"].eqNullSafe(asked["first"])).select("h", "text", "runs", "places", "sizes")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, numbers, windows = [], [], []
@@ -159,7 +160,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     named = spans_of(chunks, kept, least_words).join(plan(chunks, found, kept, least_words), "h", "left")
     named = cut_lineage(named.withColumnRenamed("h", "g"))
     texts = docs.select("doc_id", "text")
-    joined = texts.join(small(named), F.xxhash64(texts["text"]) == named["g"])
+    joined = texts.join(named, F.xxhash64(texts["text"]) == named["g"])
     gone = F.coalesce("copied", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("d"))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -184,7 +185,7 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     chunks = cut_lineage(chunked(docs))
     going = cut_lineage(plan(chunks, *passages(docs, chunks, least_words), least_words))
-    joined = docs.join(small(going), F.xxhash64(docs["text"]) == going["h"], "left")
+    joined = docs.join(going, F.xxhash64(docs["text"]) == going["h"], "left")
     gone = F.coalesce(going["copied"], F.lit(False)) & ~docs["doc_id"].eqNullSafe(going["d"])
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
