@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Let the session hand at most BATCH_BYTES to Python at once; a lower limit stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name).rstrip("b"))
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
     if not 0 < now <= BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
 

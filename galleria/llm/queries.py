@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galleria.llm import bpe_automaton, chat, decontaminate, fingerprints, licenses, line_templates, simhash, substrings, suffixes, toxicity
+from galleria.llm import bpe_automaton, chat, decontaminate, fingerprints, licenses, line_templates, matching, simhash, substrings, suffixes, toxicity
 from galleria.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("at").cast("long").alias("at"), "block", "license", "runner_up", F.round("reduction", 6).alias("reduction"), F.round("margin", 6).alias("margin"), F.round("likeness", 6).alias("likeness"), F.array_join("differences", " ").alias("differences"), "confirmed")
+
+
+@query
+def op11_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the byte trie and the word model of four fifths of them."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return matching.score(table(spark, sf_dir, "documents"), held_out)
