@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galleria.llm import bpe_automaton, chat, decontaminate, fingerprints, licenses, line_templates, matching, simhash, substrings, suffixes, toxicity
+from galleria.llm import bpe_automaton, chat, decontaminate, fingerprints, licenses, line_templates, matching, repair, simhash, spelling, substrings, suffixes, toxicity
 from galleria.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,15 @@ def op11_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document under the byte trie and the word model of four fifths of them."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     return matching.score(table(spark, sf_dir, "documents"), held_out)
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage that a hash deals out."""
+    return repair.digests(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, after slips that a hash deals out, with their near words, forms and roots."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"), slips=True).select("word", "form", "root", "n", "n_near", "form_n")
