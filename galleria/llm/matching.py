@@ -10,7 +10,8 @@ symbol once for every longer context in which it was seen (update exclusion).
 The trie is a table of grams (context and symbol, ORDER + 1 bytes in a long). What a task must know to score its texts are
 the grams that it meets. So blocks of texts say which grams and words they have, Spark counts these, the trie gives each
 distinct gram its log probability once, and each block gets back the values of its own grams: what a task holds is bounded
-by its block, and no table is broadcast but that of contexts of one byte and none (at most 65,792 rows).
+by its block, and no table is broadcast but that of contexts of one byte and none (at most 65,792 rows). Words are known by
+hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -32,78 +33,102 @@ ORDER = 5
 #: No UTF-8 text has this byte.
 END = 0xFF
 SYMBOLS = 256
-#: Bytes of text that a block has at most, but for one text more.
-BLOCK_BYTES = 32 << 20
-#: Distinct grams of a block's slices that are kept apart before they are merged; rows that are handed on together.
+#: Bytes of text of a block, but for one slice more; small inputs have smaller blocks, one for each core.
+BLOCK_BYTES = 64 << 20
+#: Bytes of text that are looked at together; longer texts are cut at white space.
+PIECE = 4 << 20
+#: Keys of a block's pieces that are kept apart before they are merged; rows that are handed on together.
 UNMERGED, ROWS = 4 << 20, 1 << 16
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: An odd multiplier of word hashes and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
-DOC, GRAM, WORD = 0, 1, 2
-NOTED = "block long, kind int, doc_id long, held_out boolean, data binary, gram long, word binary, n long"
+DOCS, GRAM, WORD = 0, 1, 2
+NOTED = "block long, kind int, key long, n long, docs binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-
-def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that ends at each symbol of each text, END included, and where each text's begin."""
-    raw = np.frombuffer(b"".join(bytes([END]) * order + t + bytes([END]) for t in texts), np.uint8)
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts], dtype=np.int64)
-    out = np.zeros(max(0, len(raw) - order), np.int64)
+Part = tuple[int, bytes, bytes, bytes]  # number of its text, what stands before it, the part, END after the last part
+
+
+def portions(texts: list[bytes]) -> Iterator[list[Part]]:
+    """The texts in lists of parts of about PIECE bytes together, so that no word is cut."""
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        start, before = 0, bytes([END]) * ORDER
+        while True:
+            end = len(text)
+            if end - start > PIECE:
+                found = max(text.rfind(bytes([b]), start, start + PIECE) for b in np.flatnonzero(BLANK))
+                ahead = [i for b in np.flatnonzero(BLANK) if found <= start and (i := text.find(bytes([b]), start + PIECE)) >= 0]
+                end = found if found > start else min(ahead, default=end)
+            held.append((number, before, text[start:end], bytes([END]) if end == len(text) else b""))
+            size += end - start
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+            if end == len(text):
+                break
+            before, start = (before + text[start:end])[-ORDER:], end
+    if held:
+        yield held
+
+
+def grams(parts: list[Part], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each symbol of each part, and the number of each one's text."""
+    raw = np.frombuffer(b"".join(before + part + end for _, before, part, end in parts), np.uint8)
+    sizes = np.array([len(part) + len(end) for _, _, part, end in parts])
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(parts)) * order, sizes)
+    out = np.zeros(len(at), np.int64)
     for i in range(order + 1):
-        out = out << 8 | raw[i : i + len(out)]
-    keep = np.ones(len(out), bool)  # grams that would end among the padding of the next text
-    for i in range(order):
-        keep[starts[1:-1] + np.arange(len(texts) - 1) * order + i] = False
-    return out[keep], starts[:-1]
-
-
-def tokens(data: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case; the end isn't among them."""
-    return data.lower().split()
-
-
-class Block:
-    """What the texts of a block have: training counts of grams and words; 0 for those of other texts only."""
-
-    def __init__(self, number: int) -> None:
-        self.number, self.size, self.parts, self.unmerged = number, 0, [], 0
-        self.words: Counter = Counter()
-
-    def add(self, texts: list[bytes], learns: list[bool]) -> None:
-        for wanted in (True, False):
-            some = [t for t, x in zip(texts, learns, strict=True) if x is wanted]
-            if not some:
-                continue
-            found = pd.Series(grams(some)[0]).value_counts(sort=False)
-            self.parts.append((found.index.to_numpy(np.int64), found.to_numpy(np.int64) * wanted))
-            self.unmerged += len(found)
-            for t in some:
-                words = tokens(t)
-                self.words.update(words if wanted else dict.fromkeys(words, 0))
-        self.size += sum(map(len, texts))
+        out = out << 8 | raw[at + i]
+    return out, np.repeat([number for number, _, _, _ in parts], sizes)
+
+
+def words(parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word between ASCII white space, A-Z in lower case, and the number of its text."""
+    joined = b"\n".join(part for _, _, part, _ in parts).lower()
+    solid = ~BLANK[np.frombuffer(joined, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.r_[False, solid, False]))
+    first, last = edges[::2], edges[1::2]
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    powers = np.full(len(joined), BASE, np.uint64)
+    powers[0] = 1
+    sums = np.r_[np.uint64(0), np.cumsum((np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)) * np.cumprod(powers))]
+    powers[1:] = INVERSE
+    h = (sums[last] - sums[first]) * np.cumprod(powers)[first]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    ends = np.cumsum([len(part) + 1 for _, _, part, _ in parts])
+    return (h ^ (h >> np.uint64(32))).view(np.int64), np.array([number for number, _, _, _ in parts])[np.searchsorted(ends, first, side="right")]
+
+
+class Counts:
+    """Distinct keys and their counts."""
+
+    def __init__(self) -> None:
+        self.parts, self.unmerged = [], 0
+
+    def add(self, keys: np.ndarray, times: int) -> None:
+        found = pd.Series(keys).value_counts(sort=False)
+        self.parts.append((found.index.to_numpy(np.int64), found.to_numpy(np.int64) * times))
+        self.unmerged += len(found)
         if self.unmerged > UNMERGED:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams in order and their counts."""
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 2
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        merged = keys[first], np.add.reduceat(n, first)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[: len(keys)]
+        merged = keys[first], np.add.reduceat(n, first) if len(first) else n
         self.parts, self.unmerged = [merged], 0
         return merged
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        keys, n = self.merge()
-        for i in range(0, len(keys), ROWS):
-            yield noted(self.number, GRAM, len(keys[i : i + ROWS]), gram=keys[i : i + ROWS], n=n[i : i + ROWS])
-        words, counts = list(self.words), list(self.words.values())
-        for i in range(0, len(words), ROWS):
-            yield noted(self.number, WORD, len(words[i : i + ROWS]), word=words[i : i + ROWS], n=counts[i : i + ROWS])
-
 
-FIELDS = [("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("data", pa.binary()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())]
+FIELDS = [("block", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("docs", pa.binary())]
+SMALLER = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
 def noted(block: int, kind: int, rows: int, **columns: object) -> pa.RecordBatch:
@@ -111,24 +136,50 @@ def noted(block: int, kind: int, rows: int, **columns: object) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(rows, t) for name, t in FIELDS], [name for name, _ in FIELDS])
 
 
+def bundle(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=SMALLER) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+class Block:
+    """What the texts of a block have: training counts of grams and words; 0 for those of other texts only."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.size, self.counts = number, 0, {GRAM: Counts(), WORD: Counts()}
+
+    def add(self, texts: list[bytes], learns: list[bool]) -> None:
+        for wanted in (True, False):
+            for parts in portions([t for t, x in zip(texts, learns, strict=True) if x is wanted]):
+                self.counts[GRAM].add(grams(parts)[0], int(wanted))
+                self.counts[WORD].add(words(parts)[0], int(wanted))
+        self.size += sum(map(len, texts))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for kind, counts in self.counts.items():
+            keys, n = counts.merge()
+            for i in range(0, len(keys), ROWS):
+                yield noted(self.number, kind, len(keys[i : i + ROWS]), key=keys[i : i + ROWS], n=n[i : i + ROWS])
+
+
 def note(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: the documents dealt into blocks, and each block's grams and words. Returns NOTED."""
+    """One pass over the texts: the documents dealt into blocks, and each block's grams and words. Returns NOTED.
+
+    docs: doc_id, text, held_out, no nulls but in doc_id. Documents come in bundles: compressed Arrow streams.
+    """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        block = Block(number)
+        block = Block(TaskContext.get().partitionId() << 32)
         for batch in slices(batches):
             if not batch.num_rows:
                 continue
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            held = batch.column("held_out").to_pylist()
-            block.add(texts, [not h for h in held])
-            yield noted(block.number, DOC, len(texts), doc_id=batch.column("doc_id"), held_out=held, data=texts)
+            block.add([t.encode() for t in batch.column("text").to_pylist()], [not h for h in batch.column("held_out").to_pylist()])
+            yield noted(block.number, DOCS, 1, docs=[bundle(batch)], n=[batch.num_rows - batch.column("held_out").true_count])
             if block.size >= BLOCK_BYTES:
                 yield from block.rows()
-                number += 1
-                block = Block(number)
+                block = Block(block.number + 1)
         yield from block.rows()
 
     return docs.mapInArrow(run, NOTED)
@@ -199,12 +250,12 @@ class Trie:
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """Log10 probability of each gram (gram, n; 0: not trained): gram, value.
+    """Log10 probability of each gram (key, n; 0: not trained): key, value.
 
     Contexts that share their last two bytes meet in one task, which takes whole groups of them together.
     """
     spark = counts.sparkSession
-    pairs = counts.where("n > 0").select(F.col("gram").bitwiseAND(0xFFFFFF).alias("t")).distinct().groupBy(F.col("t").bitwiseAND(0xFFFF).alias("gram")).count()
+    pairs = counts.where("n > 0").select(F.col("key").bitwiseAND(0xFFFFFF).alias("t")).distinct().groupBy(F.col("t").bitwiseAND(0xFFFF).alias("gram")).count()
     rows = sorted((r["gram"], r["count"]) for r in pairs.collect())  # at most 65,536
     keys, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     low = spark.sparkContext.broadcast([(keys, n), np.unique(keys & 0xFF, return_counts=True)])
@@ -214,12 +265,12 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         order = np.argsort(g, kind="stable")
         g, c = g[order], c[order]
         found = Trie(g[c > 0], c[c > 0], low.value).log10(g)
-        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(found)], ["gram", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(found)], ["key", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            g, c = batch.column("gram").to_numpy(), batch.column("n").to_numpy()
+            g, c = batch.column("key").to_numpy(), batch.column("n").to_numpy()
             if not len(g):
                 continue
             if size > ROWS:  # whole groups so far: what stands before the last change of the two bytes
@@ -233,9 +284,9 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         if parts:
             yield values(parts)
 
-    ends = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    dealt = counts.select("gram", "n", ends.alias("ends")).repartition(shuffle_parts(spark), "ends").sortWithinPartitions("ends")
-    return dealt.mapInArrow(run, "gram long, value double")
+    ends = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    dealt = counts.select("key", "n", ends.alias("ends")).repartition(shuffle_parts(spark), "ends").sortWithinPartitions("ends")
+    return dealt.mapInArrow(run, "key long, value double")
 
 
 def scored(rows: DataFrame, end: float, end_known: int, scale: float) -> DataFrame:
@@ -243,35 +294,36 @@ def scored(rows: DataFrame, end: float, end_known: int, scale: float) -> DataFra
     names, types = [c.split()[0] for c in RESULT.split(", ")], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, values, words, index = None, [], [], {}, None
+        block, keys, tables = None, {}, {}
         for batch in batches:
             for piece in same(batch, "block"):
                 if piece.column("block")[0].as_py() != block:
-                    block, keys, values, words, index = piece.column("block")[0].as_py(), [], [], {}, None
+                    block, keys, tables = piece.column("block")[0].as_py(), {GRAM: [], WORD: []}, {}
                 for part in same(piece, "kind"):
                     kind = part.column("kind")[0].as_py()
-                    if kind == GRAM:
-                        keys.append(part.column("gram").to_numpy().copy())
-                        values.append(part.column("value").to_numpy().copy())
-                    elif kind == WORD:
-                        n = part.column("n").to_numpy()
-                        words |= zip(part.column("word").to_pylist(), zip(np.log10(n + 0.5).tolist(), (n > 0).tolist(), strict=True), strict=True)
-                    else:
-                        if index is None:
-                            index, known = pd.Index(np.concatenate(keys)), np.concatenate(values)
-                            keys, values = [], []
-                        for docs in slices([part]):
-                            yield judged(docs, index, known, words)
-
-    def judged(docs: pa.RecordBatch, index: pd.Index, known: np.ndarray, words: dict) -> pa.RecordBatch:
-        texts = docs.column("data").to_pylist()
-        keys, starts = grams(texts)
-        sums = np.add.reduceat(known[index.get_indexer(keys)], starts)
-        found = [[words[w] for w in tokens(t)] for t in texts]
-        n_tokens = [len(f) + 1 for f in found]
-        n_known = [sum(k for _, k in f) + end_known for f in found]
-        base = [fsum(v for v, _ in f) + end - scale * n for f, n in zip(found, n_tokens, strict=True)]
-        columns = [docs.column("doc_id"), docs.column("held_out"), n_tokens, n_known, base, sums]
+                    if kind != DOCS:
+                        keys[kind].append((part.column("key").to_numpy().copy(), part.column("value").to_numpy().copy()))
+                        continue
+                    if not tables:
+                        for k in list(keys):
+                            own, values = (np.concatenate(x) for x in zip(*keys.pop(k), strict=True)) if keys[k] else (keys.pop(k), np.zeros(0))
+                            tables[k] = pd.Index(own, dtype=np.int64), values
+                    for docs in part.column("docs"):
+                        yield judged(pa.ipc.open_stream(docs.as_buffer()).read_next_batch(), tables)
+
+    def judged(docs: pa.RecordBatch, tables: dict[int, tuple[pd.Index, np.ndarray]]) -> pa.RecordBatch:
+        n = docs.num_rows
+        sums, base, n_words, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for parts in portions([t.encode() for t in docs.column("text").to_pylist()]):
+            keys, owner = grams(parts)
+            sums += np.bincount(owner, tables[GRAM][1][tables[GRAM][0].get_indexer(keys)], n)
+            keys, owner = words(parts)
+            if len(keys):
+                values = tables[WORD][1][tables[WORD][0].get_indexer(keys)]
+                base += np.bincount(owner, values, n)
+                n_words += np.bincount(owner, minlength=n)
+                n_known += np.bincount(owner[values > 0], minlength=n)  # log10 of 1.5 and more
+        columns = [docs.column("doc_id"), docs.column("held_out"), n_words + 1, n_known + end_known, base + end - scale * (n_words + 1), sums]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return rows.mapInArrow(run, RESULT)
@@ -284,6 +336,12 @@ def same(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
     return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """The rows in as few tasks as blocks need, though one for each core where there are so many."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return docs.coalesce(max(1 + total // BLOCK_BYTES, docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Log10 probability of every text under the trie of the texts that aren't held out, and under a model of single words.
 
@@ -301,21 +359,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    all_rows = kept(note(rows), "notes")
-    of_kind = lambda kind: all_rows.where(F.col("kind") == kind)
-    gram_counts = kept(of_kind(GRAM).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    word_counts = kept(of_kind(WORD).groupBy("word").agg(F.sum("n").alias("n")), "words")
-    words = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    ends = of_kind(DOC).where("NOT held_out").count()
-    total, kinds = words["n"] + ends, words["v"] + (ends > 0)
-    grams_back = of_kind(GRAM).select("block", "gram").join(log_probabilities(gram_counts), "gram")
-    words_back = of_kind(WORD).select("block", "word").join(word_counts, "word")
-    parts = [
-        grams_back.select("block", F.lit(GRAM).alias("kind"), "gram", "value"),
-        words_back.select("block", F.lit(WORD).alias("kind"), "word", "n"),
-        of_kind(DOC).select("block", F.lit(DOC).alias("kind"), "doc_id", "held_out", "data"),
-    ]
-    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    notes = kept(note(in_blocks(rows)), "notes")
+    keys, bundles = notes.where(F.col("kind") != DOCS).select("block", "kind", "key", "n"), notes.where(F.col("kind") == DOCS)
+    counts = kept(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    of_words = counts.where(F.col("kind") == WORD)
+    found = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    ends = bundles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, kinds = found["n"] + ends, found["v"] + (ends > 0)
+    values = log_probabilities(counts.where(F.col("kind") == GRAM)).select(F.lit(GRAM).alias("kind"), "key", "value")
+    values = values.unionByName(of_words.select("kind", "key", F.log10(F.col("n") + 0.5).alias("value")))
+    back = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    both = back.unionByName(bundles.select("block", "kind", "docs"), allowMissingColumns=True)
     dealt = both.repartition(shuffle_parts(spark), "block").sortWithinPartitions("block", F.col("kind").desc())
     out = scored(dealt, log10(ends + 0.5), int(ends > 0), log10(total + 0.5 * (kinds + 1)))
     path = new_folder(spark, "partial-matching-scores")

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from galleria.llm import matching
-from galleria.llm.matching import END, ORDER, Adaptive, Trie, grams
+from galleria.llm.matching import END, ORDER, Adaptive, Trie, grams, portions, words
 from galleria.llm.queries import QUERIES
 
 
@@ -45,6 +46,7 @@ def key(r):
 def test_awkward_rows_like_a_dictionary_trie(spark, awkward, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK_BYTES", 3000)  # several blocks a task
     monkeypatch.setattr(matching, "UNMERGED", 500)
+    monkeypatch.setattr(matching, "PIECE", 700)  # long texts in several parts
     some = awkward.where("coalesce(length(text), 0) < 100000").repartition(3)
     want = brute([(r["doc_id"], r["text"]) for r in some.collect()])
     assert sorted(rounded(matching.score(some, held())), key=key) == sorted(want, key=key)
@@ -59,7 +61,7 @@ def test_real_documents_like_a_dictionary_trie(spark, sf):
 
 def test_symbols_after_a_context_sum_to_one():
     texts = [b"the cat sat on the mat", b"the hat", "été à la mer".encode(), b"", b"aaaaaaa"]
-    keys, n = np.unique(grams(texts)[0], return_counts=True)
+    keys, n = np.unique(np.concatenate([grams(p)[0] for p in portions(texts)]), return_counts=True)
     trigrams = np.unique(keys & 0xFFFFFF)
     pairs = np.unique(trigrams & 0xFFFF, return_counts=True)
     trie = Trie(keys, n, [pairs, np.unique(pairs[0] & 0xFF, return_counts=True)])
@@ -68,11 +70,28 @@ def test_symbols_after_a_context_sum_to_one():
         assert abs(sum(10.0 ** trie.log10(start + np.arange(256))) - 1) < 1e-9
 
 
-def test_grams_of_texts():
-    keys, starts = grams([b"ab", b"", b"c"], 2)
-    pad = bytes([END]) * 2
-    want = [pad + b"a", pad[:1] + b"ab", b"ab" + pad[:1], pad + pad[:1], pad + b"c", pad[:1] + b"c" + pad[:1]]
-    assert keys.tolist() == [int.from_bytes(w, "big") for w in want] and starts.tolist() == [0, 3, 4]
+@pytest.mark.parametrize("piece", [1, 3, 4, 1000])
+def test_grams_and_words_of_parts(piece, monkeypatch):
+    monkeypatch.setattr(matching, "PIECE", piece)
+    texts = [b"ab cd", b"", b"c\x0b AB", b"  ", b"abcdefgh", "é ab\u00a0cd".encode()]
+    got, found = [], []
+    for p in portions(texts):
+        got += zip(*(x.tolist() for x in grams(p)), strict=True)
+        found += zip(*(x.tolist() for x in words(p)), strict=True)
+    want = []
+    for i, t in enumerate(texts):
+        padded = bytes([END]) * ORDER + t + bytes([END])
+        want += [(int.from_bytes(padded[j : j + ORDER + 1], "big"), i) for j in range(len(t) + 1)]
+    assert got == want
+    plain = [(w, i) for i, t in enumerate(texts) for w in t.lower().split()]
+    assert [i for _, i in found] == [i for _, i in plain]
+    assert len(set(zip(plain, found, strict=True))) == len(set(plain)) == len({h for h, _ in found} | set()) + 1  # "ab" is in two texts
+
+
+def test_different_words_have_different_hashes():
+    many = [f"{a}{b}".encode() for a in range(300) for b in "abcdefghijé"]
+    h, _ = words([(0, b"", b" ".join(many), b"")])
+    assert len(set(h.tolist())) == len(set(many))
 
 
 def test_nothing_to_learn_and_no_rows(spark, nothing):
