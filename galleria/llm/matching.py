@@ -370,7 +370,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     values = values.unionByName(of_words.select("kind", "key", F.log10(F.col("n") + 0.5).alias("value")))
     back = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     both = back.unionByName(bundles.select("block", "kind", "docs"), allowMissingColumns=True)
-    dealt = both.repartition(shuffle_parts(spark), "block").sortWithinPartitions("block", F.col("kind").desc())
+    turn = (F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF)) % shuffle_parts(spark)
+    dealt = both.repartitionById(shuffle_parts(spark), turn.cast("int")).sortWithinPartitions("block", F.col("kind").desc())
     out = scored(dealt, log10(ends + 0.5), int(ends > 0), log10(total + 0.5 * (kinds + 1)))
     path = new_folder(spark, "partial-matching-scores")
     out.withColumn("train_tokens", F.lit(total).cast("long")).write.parquet(path)
