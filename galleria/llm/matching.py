@@ -34,11 +34,11 @@ ORDER = 5
 END = 0xFF
 SYMBOLS = 256
 #: Bytes of text of a block, but for one slice more; small inputs have smaller blocks, one for each core.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 48 << 20
 #: Bytes of text that are looked at together; longer texts are cut at white space.
 PIECE = 1 << 20
 #: Keys of a block's pieces that are kept apart before they are merged; rows that are handed on together.
-UNMERGED, ROWS = 2 << 20, 1 << 16
+UNMERGED, ROWS = 1 << 20, 1 << 16
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: An odd multiplier of word hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
