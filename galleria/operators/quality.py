@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import StructType
 
 from galleria.functions.vectors import faults
@@ -38,10 +38,24 @@ def out_of_step(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full_outer").where("l IS NULL OR r IS NULL").select(key, F.when(F.col("r").isNull(), "left only").otherwise("right only").alias("side"))
 
 
+def broken_rules(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a row breaks; a rule that gives null isn't broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()], F.lit(None).cast("string")))
+
+
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows with the names of the rules they break; a rule that gives null isn't broken."""
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()]))
-    return rows.withColumn("broken", broken).where(F.size("broken") > 0)
+    """Rows with the names of the rules they break."""
+    return rows.withColumn("broken", broken_rules(rules)).where(F.size("broken") > 0)
+
+
+def observed(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """All rows with the names of the rules they break, and their counts: rows, broken and one for each rule.
+
+    The counts are taken while the rows are written, by the same scan; reading them waits for the first action.
+    """
+    marked, counts = rows.withColumn("broken", broken_rules(rules)), Observation()
+    each = [F.count_if(F.array_contains("broken", name)).alias(name) for name in rules]
+    return marked.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("broken") > 0).alias("broken"), *each), counts
 
 
 def payload_faults(payload: Column, point_id: Column, vector: Column, dim: int) -> Column:
@@ -60,6 +74,16 @@ def payload_faults(payload: Column, point_id: Column, vector: Column, dim: int)
     return F.concat(F.array_compact(F.array(*reasons)), faults(vector, dim))
 
 
+#: All that payload_faults can find.
+POINT_FAULTS = ("other key", "missing key", "id differs", *(f"{k} is no UUID" for k in PAYLOAD[:3]), "active is no boolean", "no model version", "null", "dimension", "not finite", "zero")
+
+
+def point_rules(dim: int, payload: str = "payload", point_id: str = "point_id", vector: str = "embedding") -> dict[str, Column]:
+    """The rules of a vector point, for tables of points that are checked as they are written."""
+    found = payload_faults(F.col(payload), F.col(point_id), F.col(vector), dim)
+    return {name: ~F.array_contains(found, name) for name in POINT_FAULTS}
+
+
 def personal_columns(schema: StructType) -> list[str]:
     """Columns, nested ones too, whose names say that they hold personal data."""
     found = []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleria.plans.registry import query
 from galleria.streaming import process_log as P, run
+from galleria.streaming.keyed_table import KeyedTable, merge_batch
 
 STATES = """CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancel_requested' WHEN 'error' THEN 'failed' ELSE 'completed' END"""
 
@@ -26,3 +27,22 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State machine of each user's process; tested against a plain loop."""
     events = P.read_events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("process_id"), F.col("event_id").alias("sequence"), F.expr(STATES).alias("status"))
     return run.appended(P.checked_transitions(events))
+
+
+LATEST = """WITH good AS (SELECT * FROM events WHERE value IS NULL OR value < 150),
+  half AS (SELECT *, event_id % 2 AS h, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM good),
+  last AS (SELECT *, min(h) OVER (PARTITION BY user_id) AS first_h, max(h) OVER (PARTITION BY user_id) AS last_h FROM half WHERE n = 1)
+SELECT user_id, max(CASE WHEN h = first_h THEN event_id END) AS first_id, max(CASE WHEN h = last_h THEN event_id END) AS event_id,
+  max(CASE WHEN h = last_h THEN event_type END) AS event_type, max(CASE WHEN h = last_h THEN value END) AS value FROM last GROUP BY user_id"""
+
+
+@query(LATEST)
+def keyed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of events, merged by user into a table of partitions; values of 150 and more are rejected, and the first
+    event's number is not among the columns that an upsert changes."""
+    newest = lambda: [F.desc("ts"), F.desc("event_id")]
+    kept = KeyedTable(run.folder(spark), ["user_id"], ["event_id", "ts", "event_type", "value"], newest, parts=8, rules=lambda: {"value": F.col("value") < 150})
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("first_id"), "event_id", "ts", "event_type", "value")
+    for half in (0, 1):
+        merge_batch(kept, events.where(F.col("event_id") % 2 == half), half)
+    return kept.rows(spark).select("user_id", "first_id", "event_id", "event_type", "value")

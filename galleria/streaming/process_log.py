@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from galleria.operators.jobs import NEXT
@@ -131,3 +132,45 @@ def cancellable(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, i
             raise
         return False
     return True
+
+
+class BatchProgress(StreamingQueryListener):
+    """Hands each batch's progress on: a row of job, batch, rows, rows a second and seconds."""
+
+    def __init__(self, job: str, report: Callable[[dict], None]) -> None:
+        self.job, self.report = job, report
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if p.name == self.job:
+            self.report({"job": self.job, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "seconds": p.batchDuration / 1000})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def run_job(stream: DataFrame, job: str, checkpoint: str, step: Callable[[DataFrame, int], None], report: Callable[[dict], None], cancelled: Callable[[], bool] = lambda: False, poll: float = 0.2) -> bool:
+    """Run step on each batch of what is there, report each one's progress, stop once cancelled() holds; whether it went to
+    the end.
+
+    A batch that a stop cuts short is done again by the next run with this checkpoint, so step must bear that, as merges by
+    key do. job names the query; one query of a name runs at a time.
+    """
+    spark, listener = stream.sparkSession, BatchProgress(job, report)
+    spark.streams.addListener(listener)
+    try:
+        query = stream.writeStream.queryName(job).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        while not query.awaitTermination(poll):
+            if cancelled():
+                query.stop()
+                return False
+        return True
+    finally:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # the last batch's progress
+        spark.streams.removeListener(listener)
