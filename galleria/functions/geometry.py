@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -99,12 +100,21 @@ def letterbox(width: Column, height: Column, size: int) -> Column:
     return F.struct(scale.alias("scale"), w.alias("width"), h.alias("height"), (F.lit(size) - w).alias("pad_right"), (F.lit(size) - h).alias("pad_bottom"))
 
 
+def once(column: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a column that is found once a row, not wherever it is used: the element of an array of one."""
+    return F.transform(F.array(column), use)[0]
+
+
 def similarity_transform(landmarks: Column) -> Column:
     """Scale-and-rotation (a, b) and shift (tx, ty) that bring five landmarks closest to the template: x' = ax - by + tx,
     y' = bx + ay + ty. Null if they coincide or aren't finite.
 
     landmarks: array of five [x, y].
     """
+    return once(landmarks, _fitted)
+
+
+def _fitted(landmarks: Column) -> Column:
     total = lambda parts: reduce(lambda s, x: s + x, parts)
     xs, ys = ([landmarks[i][j] for i in range(5)] for j in (0, 1))
     mx, my = total(xs) / 5, total(ys) / 5
@@ -112,6 +122,11 @@ def similarity_transform(landmarks: Column) -> Column:
     spread = total([(x - mx) * (x - mx) + (y - my) * (y - my) for x, y in zip(xs, ys, strict=True)])
     a = total([(x - mx) * (u - ux) + (y - my) * (v - uy) for x, y, (u, v) in zip(xs, ys, TEMPLATE, strict=True)])
     b = total([(x - mx) * (v - uy) - (y - my) * (u - ux) for x, y, (u, v) in zip(xs, ys, TEMPLATE, strict=True)])
-    ok = (spread > 0) & ~F.isnan(spread) & (spread < float("inf"))
-    a, b = a / spread, b / spread
-    return F.when(ok, F.struct(a.alias("a"), b.alias("b"), (ux - a * mx + b * my).alias("tx"), (uy - b * mx - a * my).alias("ty")))
+    means = F.struct(mx.alias("x"), my.alias("y"), spread.alias("spread"), a.alias("a"), b.alias("b"))
+    return once(means, lambda m: _shifted(m, ux, uy))
+
+
+def _shifted(m: Column, ux: float, uy: float) -> Column:
+    ok = (m["spread"] > 0) & ~F.isnan(m["spread"]) & (m["spread"] < float("inf"))
+    a, b = m["a"] / m["spread"], m["b"] / m["spread"]
+    return F.when(ok, F.struct(a.alias("a"), b.alias("b"), (ux - a * m["x"] + b * m["y"]).alias("tx"), (uy - b * m["x"] - a * m["y"]).alias("ty")))

@@ -1,3 +1,3 @@
 """Queries of the library, by topic."""
 
-from galleria.plans import enrol, evaluation, geometry, ingest, jobs, people, quality, recognition, scalars, streams  # noqa: F401
+from galleria.plans import enrol, evaluation, geometry, ingest, jobs, people, pixels, quality, recognition, scalars, streams  # noqa: F401
