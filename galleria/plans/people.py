@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleria.functions.display import summary
-from galleria.operators import people as P
+from galleria.operators import people as P, text_index as X
 from galleria.plans import tables as T
 from galleria.plans.registry import query, table
+from galleria.streaming.run import folder
 
 COUNTED = T.SQL + """, listed AS (
   SELECT p.person_id, p.name, i.display_name, p.created_at, count(DISTINCT f.photo_id) AS photo_count, min(CAST(f.photo_id AS VARCHAR)) AS primary_photo_id
@@ -37,6 +38,17 @@ def list_faces_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.list_persons(*three(spark, sf_dir), search="9_1", limit=100).select(*COLUMNS)
 
 
+@query(COUNTED.format(more="AND (p.name ILIKE '%009_1%' OR i.display_name ILIKE '%009_1%')") + "SELECT * FROM listed")
+def list_faces_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persons whose name or identity an index of trigrams finds."""
+    persons, identities, photos = three(spark, sf_dir)
+    names = persons.join(identities, "identity_id").select(F.col("person_id").alias("id"), F.explode(F.array("name", "display_name")).alias("text"))
+    path = folder(spark)
+    X.build(names, path)
+    found = X.search(spark, path, "%009_1%").select(F.col("id").alias("person_id")).distinct()
+    return P.photo_counts(persons.join(found, "person_id", "left_semi"), identities, photos).select(*COLUMNS)
+
+
 @query(COUNTED.format(more="AND p.is_active IS FALSE") + "SELECT * FROM listed ORDER BY created_at DESC, person_id LIMIT 20")
 def list_faces_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Always empty: inactive persons are never listed."""
