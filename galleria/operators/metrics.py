@@ -27,27 +27,29 @@ def _same(by: list[str]) -> Column:
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, points: list[float], accuracy: int = 10_000) -> DataFrame:
     """The same columns as `percentiles` for groups of any size: no task holds a group's values.
 
-    A sketch brackets each percentile to a few of 10,000 parts of its group (`accuracy`); one more pass counts what lies
-    below the brackets and the values inside, and the ranks are picked from these counts. The result is exact.
+    A sketch brackets each percentile to a few of 10,000 parts of its group (`accuracy`). One more pass counts the values in
+    the brackets one by one and those between two brackets together, and all ranks are picked from these counts. The result
+    is exact.
     """
-    v, margin = F.col(value).cast("double"), 2 / accuracy
+    v, margin, points = F.col(value).cast("double"), 2 / accuracy, sorted(points)
     sketch = lambda side: F.percentile_approx(v, [min(1.0, max(0.0, p + side * margin)) for p in points], accuracy)
     groups = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), sketch(-1).alias("low"), sketch(1).alias("high"))
-    brackets = groups.select(*by, "n", F.posexplode(F.arrays_zip("low", "high")).alias("i", "b")).select(*by, "n", "i", "b.low", "b.high")
-    known = rows.where(v.isNotNull()).select(*by, v.alias("v"))
-    placed = known.join(_marked(brackets, by), _same(by)).select(*by, "n", "i", "v", F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0).alias("side"))
-    # All that lies below a bracket is one row, all above another: their largest and smallest value are next to it.
-    counts = placed.groupBy(*by, "n", "i", "side", F.when(F.col("side") == 0, F.col("v")).alias("x")).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
-    upto = F.sum("c").over(Window.partitionBy(*by, "i").orderBy("side", "x"))
-    ranked = counts.withColumn("upto", upto).withColumn("value", F.when(F.col("side") < 0, F.col("last")).otherwise(F.col("first")))
-    p = F.element_at(F.array(*map(F.lit, points)), F.col("i") + 1)
-    rank = (F.col("n") - 1) * p
-    at = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("value")))
-    low, high = F.floor(rank), F.ceil(rank)
-    picked = ranked.groupBy(*by, "i").agg(at(low).alias("a"), at(high).alias("b"), F.max(rank - low).alias("part"))
-    one = picked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == k, F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))).alias(f"p{round(x * 100):02d}") for k, x in enumerate(points)])
+    known = rows.where(v.isNotNull()).select(*by, v.alias("v")).join(_marked(groups.select(*by, "n", "low", "high"), by), _same(by))
+    inside = reduce(lambda a, b: a | b, [F.col("v").between(F.col("low")[i], F.col("high")[i]) for i in range(len(points))])
+    passed = reduce(lambda a, b: a + b, [(F.col("v") > F.col("high")[i]).cast("int") for i in range(len(points))])
+    # Values between two brackets are one row: their smallest and largest value are next to the brackets. They come before
+    # the values of the bracket that they haven't passed.
+    placed = known.select(*by, "n", "v", passed.alias("passed"), F.when(inside, F.col("v")).alias("x"))
+    counts = placed.groupBy(*by, "n", "passed", "x").agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+    ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("passed", F.col("x").asc_nulls_first())))
+    start = F.col("upto") - F.col("c")
+    at = lambda k: F.max(F.when((start <= k) & (k < F.col("upto")), F.when(k == start, F.col("first")).otherwise(F.col("last"))))
+    name = lambda p: f"p{round(p * 100):02d}"
+    rank = {p: (F.col("n") - 1) * p for p in points}
+    ends = ranked.groupBy(*by, "n").agg(*[at(side(rank[p])).alias(f"{name(p)}{end}") for p in points for end, side in (("a", F.floor), ("b", F.ceil))])
+    one = ends.select(*by, *[(F.col(f"{name(p)}a") + (F.col(f"{name(p)}b") - F.col(f"{name(p)}a")) * (rank[p] - F.floor(rank[p]))).alias(name(p)) for p in points])
     joined = groups.join(_marked(one, by), _same(by), "left")
-    return joined.select(*by, "n", *[F.coalesce(f"p{round(x * 100):02d}", F.lit(0.0)).alias(f"p{round(x * 100):02d}") for x in points], "mean", "std", "min", "max")
+    return joined.select(*by, "n", *[F.coalesce(name(p), F.lit(0.0)).alias(name(p)) for p in points], "mean", "std", "min", "max")
 
 
 def last_n(rows: DataFrame, by: list[str], order: list[Column], n: int = 60) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleria.functions.display import summary
-from galleria.operators import people as P, text_index as X
+from galleria.operators import layout as L, people as P, text_index as X
 from galleria.plans import tables as T
 from galleria.plans.registry import query, table
 from galleria.streaming.run import folder
@@ -27,6 +29,14 @@ def list_faces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.photo_counts(*three(spark, sf_dir)).select(*COLUMNS)
 
 
+@query(COUNTED.format(more="") + "SELECT * FROM listed")
+def list_faces_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing over tables in buckets of persons: photos are counted and joined where they lie."""
+    persons, identities, photos = three(spark, sf_dir)
+    kept = [L.store_by_person(df, f"{folder(spark)}/{name}", f"{name}_{uuid.uuid4().hex}") for df, name in ((persons, "persons"), (photos, "photos"))]
+    return P.photo_counts(kept[0], F.broadcast(identities), kept[1]).select(*COLUMNS)
+
+
 @query(COUNTED.format(more="") + "SELECT * FROM listed ORDER BY created_at DESC, person_id LIMIT 20 OFFSET 40")
 def list_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page."""

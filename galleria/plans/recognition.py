@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleria.functions import vectors as V
-from galleria.operators import topk as T, vector_index as I
+from galleria.operators import layout as L, topk as T, vector_index as I
 from galleria.plans.registry import query, table
 from galleria.streaming.run import folder
 
@@ -98,3 +98,12 @@ def recognize_indexed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = I.build(gallery(spark, sf_dir), folder(spark), rounds=2)
     keep = (F.col("person_id") < 5) & (F.col("sample_id") % 2 == 1)
     return I.search(index, probes(spark, sf_dir), K, len(index.centres), keep).select("query_id", "sample_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS person_id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 6) + 0.0 AS total FROM embeddings WHERE vec_id IN (3, 77, 140, 199, 1000003)")
+def lookup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and payload of some ids, from a table that lies in the order of its ids."""
+    path = folder(spark)
+    L.store_by_id(gallery(spark, sf_dir), path, "sample_id")
+    total = F.aggregate(V.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    return L.find(spark, path, "sample_id", [3, 77, 140, 199, 1_000_003]).select("sample_id", "person_id", F.size("embedding").cast("long").alias("dim"), (F.round(total, 6) + 0.0).alias("total"))
