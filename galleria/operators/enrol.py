@@ -6,14 +6,19 @@ next state of those that went in. Ids are derived from what they name, so a batc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleria.functions.geometry import area
 from galleria.functions.identity import derived_id, full_name, hmac_sha256, mask_tail, split_name
+from galleria.functions.vectors import faults
 from galleria.operators.ingest import insert_ignore, validated
 
+#: Gives the same rows back, from a written table perhaps; what is decided for a batch is then worked out once.
+Stage = Callable[[DataFrame], DataFrame]
+
 DUPLICATE, NO_FACE, NO_PERSON, KNOWN_PERSON = "this exact photo is already enrolled for this person", "no face detected", "person not found", "person is already enrolled"
 
 
@@ -39,18 +44,21 @@ def largest_faces(faces: DataFrame) -> DataFrame:
     return faces.groupBy("index").agg(F.max_by(face, F.struct(area(F.col("box")), -F.col("ordinal"))).alias("face"))
 
 
-def _fresh(rows: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _fresh(rows: DataFrame, photos: DataFrame, dim: int | None, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """Rows with a face whose photo its person doesn't have yet, with photo_id, and the rejects (index, message).
 
-    rows: index, person_id, content, face. Of equal photos of a person in the batch the first index counts.
+    rows: index, person_id, content, face. Of equal photos of a person in the batch the first index counts. With dim, faces
+    whose vector can't be stored are rejected.
     """
+    wrong = F.array_join(faults(F.col("face.embedding"), dim), ", ") if dim else F.lit("")
+    unfit = F.col("face").isNull() | (wrong != "")
     seen = photos.select("person_id", "content").distinct().withColumn("seen", F.lit(True))
-    place = F.row_number().over(Window.partitionBy("person_id", "content").orderBy(F.col("face").isNull(), "index"))
+    place = F.row_number().over(Window.partitionBy("person_id", "content").orderBy(unfit, "index"))
     marked = rows.join(seen, ["person_id", "content"], "left").withColumn("place", place)
-    message = F.when(F.col("face").isNull(), NO_FACE).when(F.col("seen") | (F.col("place") > 1), DUPLICATE)
-    marked = marked.withColumn("message", message).drop("seen", "place")
+    message = F.when(F.col("face").isNull(), NO_FACE).when(unfit, F.concat(F.lit("vector: "), wrong)).when(F.col("seen") | (F.col("place") > 1), DUPLICATE)
     photo_id = derived_id("photo", F.concat_ws(":", "person_id", "content"))
-    return marked.where("message IS NULL").drop("message").withColumn("photo_id", photo_id), marked.where("message IS NOT NULL").select("index", "message")
+    marked = stage(marked.withColumn("message", message).drop("seen", "place").withColumn("photo_id", photo_id))
+    return marked.where("message IS NULL").drop("message"), marked.where("message IS NOT NULL").select("index", "message")
 
 
 def _with_faces(gallery: Gallery, rows: DataFrame, model: str) -> tuple[Gallery, DataFrame]:
@@ -62,13 +70,15 @@ def _with_faces(gallery: Gallery, rows: DataFrame, model: str) -> tuple[Gallery,
     return replace(gallery, photos=gallery.photos.unionByName(photos), samples=gallery.samples.unionByName(samples), vectors=gallery.vectors.unionByName(vectors)), rows
 
 
-def enrol(gallery: Gallery, items: DataFrame, faces: DataFrame, key: str, model: str = "default", known_persons: str = "update") -> tuple[Gallery, DataFrame, DataFrame]:
+def enrol(gallery: Gallery, items: DataFrame, faces: DataFrame, key: str, model: str = "default", known_persons: str = "update", dim: int | None = None, stage: Stage = lambda rows: rows) -> tuple[Gallery, DataFrame, DataFrame]:
     """Enrol persons with a photo each: the next gallery, records and errors (index, message).
 
     items: index, name, national_id, length (bytes of the photo), content (its hash), details (null: not given). The
     largest face of a photo counts. A new national id makes an identity and a person. A known one gets the new names, and
     the new details where they are given; with known_persons="reject" it is an error instead, also within the batch.
-    Rejected items change nothing. Records: index, identity_id, person_id, photo_id, sample_id, name.
+    With dim, an item whose face has no vector of that dimension, a zero one or one with NaN or infinite numbers is an error.
+    Rejected items change nothing. stage writes what is decided for the batch, so that the tables that come out don't work it
+    out once each. Records: index, identity_id, person_id, photo_id, sample_id, name.
     """
     if known_persons not in ("update", "reject"):
         raise ValueError("known_persons must be update or reject")
@@ -82,38 +92,39 @@ def enrol(gallery: Gallery, items: DataFrame, faces: DataFrame, key: str, model:
         rows = rows.withColumn("twice", F.col("face").isNotNull() & (F.col("known_id").isNotNull() | ~first))
         errors = errors.unionByName(rows.where("twice").select("index", F.lit(KNOWN_PERSON).alias("message")))
         rows = rows.where("NOT twice").drop("twice")
-    fresh, more = _fresh(rows, gallery.photos)
+    fresh, more = _fresh(rows, gallery.photos, dim, stage)
     after, fresh = _with_faces(gallery, fresh, model)
     identities = fresh.select("identity_id", "lookup", full_name(F.col("names.first_name"), F.col("names.last_name")).alias("display_name"), "index")
     # Of several items of a person the last one gives the names, and the last one that has details gives these.
     given = F.col("details").isNotNull()
     new = fresh.groupBy("person_id", "identity_id", "lookup", "masked").agg(F.max_by("names", "index").alias("names"), F.max_by(F.when(given, F.col("details")), F.when(given, F.col("index"))).alias("new_details"))
-    old = gallery.persons.select("person_id", F.col("identity_id").alias("old_identity"), F.col("lookup").alias("old_lookup"), F.col("masked").alias("old_masked"), "first_name", "last_name", "details")
-    both = old.join(new, "person_id", "full_outer")
+    # A batch is small beside the persons: Spark can send it to them where they lie, as it couldn't in an outer join of both.
     hit = F.col("names").isNotNull()
-    persons = both.select(
+    renamed = gallery.persons.join(new.select("person_id", F.col("identity_id").alias("new_identity"), "names", "new_details"), "person_id", "left").select(
         "person_id",
-        F.when(hit, F.col("identity_id")).otherwise(F.col("old_identity")).alias("identity_id"),
-        F.coalesce("old_lookup", "lookup").alias("lookup"),
-        F.coalesce("old_masked", "masked").alias("masked"),
+        F.when(hit, F.col("new_identity")).otherwise(F.col("identity_id")).alias("identity_id"),
+        "lookup",
+        "masked",
         F.when(hit, F.col("names.first_name")).otherwise(F.col("first_name")).alias("first_name"),
         F.when(hit, F.col("names.last_name")).otherwise(F.col("last_name")).alias("last_name"),
         F.coalesce("new_details", "details").alias("details"),
     )
+    added = new.join(gallery.persons.select("person_id"), "person_id", "left_anti").select("person_id", "identity_id", "lookup", "masked", "names.first_name", "names.last_name", F.col("new_details").alias("details"))
+    persons = renamed.unionByName(added)
     after = replace(after, identities=insert_ignore(gallery.identities, identities, ["lookup"], [F.col("index")]), persons=persons)
     records = fresh.select("index", "identity_id", "person_id", "photo_id", "sample_id", full_name(F.col("names.first_name"), F.col("names.last_name")).alias("name"))
     return after, records, errors.unionByName(more)
 
 
-def add_photos(gallery: Gallery, items: DataFrame, faces: DataFrame, model: str = "default") -> tuple[Gallery, DataFrame, DataFrame]:
+def add_photos(gallery: Gallery, items: DataFrame, faces: DataFrame, model: str = "default", dim: int | None = None, stage: Stage = lambda rows: rows) -> tuple[Gallery, DataFrame, DataFrame]:
     """Add photos to persons that are there, active or not: the next gallery, records and errors (index, message).
 
-    items: index, identity_id, length, content. Records: index, identity_id, person_id, photo_id, sample_id.
+    items: index, identity_id, length, content. dim and stage as in `enrol`. Records: index, identity_id, person_id, photo_id, sample_id.
     """
     rows = items.join(gallery.persons.select("identity_id", "person_id"), "identity_id", "left").join(largest_faces(faces), "index", "left")
     message = F.when(F.coalesce("length", F.lit(0)) == 0, "empty image").when(F.col("person_id").isNull(), NO_PERSON)
     marked = rows.withColumn("message", message)
-    fresh, errors = _fresh(marked.where("message IS NULL").drop("message"), gallery.photos)
+    fresh, errors = _fresh(marked.where("message IS NULL").drop("message"), gallery.photos, dim, stage)
     after, fresh = _with_faces(gallery, fresh, model)
     return after, fresh.select("index", "identity_id", "person_id", "photo_id", "sample_id"), errors.unionByName(marked.where("message IS NOT NULL").select("index", "message"))
 

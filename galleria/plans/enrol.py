@@ -8,6 +8,7 @@ from galleria.functions.identity import derived_id, hmac_sha256
 from galleria.operators import enrol as E
 from galleria.plans.registry import query, table
 from galleria.plans.scalars import KEY, sql_hmac, sql_uuid5
+from galleria.streaming.run import folder
 
 PERSON = sql_uuid5(sql_hmac("national_id"), "person")
 IDENTITY = sql_uuid5(sql_hmac("national_id"), "identity")
@@ -53,8 +54,15 @@ def empty(spark: SparkSession) -> E.Gallery:
 def enrolled(spark: SparkSession, d: str) -> tuple[E.Gallery, DataFrame, DataFrame]:
     """The gallery after both batches, and the records and errors of the second one."""
     every, found = items(spark, d), faces(spark, d)
-    early, _, _ = E.enrol(empty(spark), every.where("index % 3 = 0"), found, KEY)
-    return E.enrol(early, every.where("index % 3 <> 0"), found, KEY)
+    early, _, _ = E.enrol(empty(spark), every.where("index % 3 = 0"), found, KEY, stage=staged)
+    return E.enrol(early, every.where("index % 3 <> 0"), found, KEY, stage=staged)
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    path = folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 @query(BATCHES + "SELECT index, identity_id, person_id, photo_id, name FROM fresh WHERE NOT early")

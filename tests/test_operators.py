@@ -303,6 +303,11 @@ def test_enrolment(spark):
     assert N.live_samples(gone, gone.persons.where("first_name = 'Bob'")).count() == 2
     with pytest.raises(ValueError):
         N.enrol(empty, frame, faces, "key", known_persons="maybe")
+    vectors = [[1.0, 2.0], [1.0], [0.0, 0.0], [float("nan"), 1.0], [3.0, 4.0]]
+    seen = spark.createDataFrame([(i, 0, (0.0, 0.0, 5.0, 5.0), [], v, 0.9) for i, v in enumerate(vectors)], box)
+    checked, good, wrong = N.enrol(empty, spark.createDataFrame([(i, "A B", str(i % 4), 3, "x", None) for i in range(5)], items), seen, "key", dim=2)
+    assert [r["index"] for r in good.collect()] == [0] and {r["index"]: r.message for r in wrong.collect()} == {1: "vector: dimension", 2: "vector: zero", 3: "vector: not finite", 4: N.DUPLICATE}
+    assert [r.embedding for r in checked.vectors.collect()] == [[1.0, 2.0]]
 
 
 def test_vggface_tree_in_shards(spark, tmp_path):
