@@ -8,7 +8,7 @@ words in which the candidate differs from the closest sentence or whole notice o
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -205,16 +205,18 @@ def blocks(text: str, templates: Templates) -> list[tuple[int, tuple]]:
     confirmed.
     """
 
+    pieces = shared_runs(text, templates)
+    marks = [m.span() for m in SENTENCE_END.finditer(text)] if pieces else []
+    begins, ends = [a for a, _ in marks], [b for _, b in marks]
+
     def sentence(a: int, b: int) -> tuple[int, int]:
-        start = max((m.end() for m in SENTENCE_END.finditer(text, 0, a)), default=0)
-        end = SENTENCE_END.search(text, b)
-        return start, end.start() + 1 if end else len(text)
+        before, after = bisect_right(ends, a), bisect_left(begins, b)
+        return ends[before - 1] if before else 0, begins[after] + 1 if after < len(begins) else len(text)
 
     def best(spans: list[tuple[int, int]]) -> tuple[int, tuple]:
         forms = {(a + len(x) - len(x.lstrip()), x.strip()): None for a, b in spans if (x := text[a:b]).strip()}
         return max(((a, judged(x, templates)) for a, x in forms), key=lambda f: (f[1][5], -len(f[1][0])))
 
-    pieces = shared_runs(text, templates)
     runs, single = [(p[0][0], p[-1][1]) for p in pieces], []
     for (a, b), p in zip(runs, pieces, strict=True):
         c, d = sentence(a, b)
@@ -249,7 +251,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-            found += [(doc_id, text.count("\n", 0, start), *judgement) for start, judgement in blocks(text, fixed)]
+            own = blocks(text, fixed)
+            breaks = [i for i, c in enumerate(text) if c == "\n"] if own else []
+            found += [(doc_id, bisect_left(breaks, start), *judgement) for start, judgement in own]
         columns = list(zip(*found, strict=True)) or [[]] * len(TYPES)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 

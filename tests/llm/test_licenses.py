@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import textwrap
 
 import pytest
@@ -89,3 +90,11 @@ def test_own_templates(spark):
     docs = spark.createDataFrame([(1, "You shall share your bread with all who ask."), (2, None), (3, "")], "doc_id long, text string")
     got = L.scan(docs, {"bread": ("You shall share your bread with everyone who asks.",), "wine": ("Keep your wine.",)}).collect()
     assert [(r.doc_id, r.license, r.confirmed) for r in got] == [(1, "bread", False)] or got[0].license == "bread"
+
+
+def test_ten_thousand_notices_in_one_text():
+    notices = [n for v in L.TEMPLATES.values() for n in v]
+    for between in ("\nsome other words stand here between the notices\n", "\n"):
+        started = time.perf_counter()
+        assert len(L.blocks(between.join(notices[i % len(notices)] for i in range(10_000)), FIXED)) >= 10_000
+        assert time.perf_counter() - started < 5
