@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galleria.llm.common import cut_lineage, small
+from galleria.llm.common import cut_lineage, is_small, small
 
 #: Words of a window. A shorter item is one window of all its words.
 WINDOW = 13
@@ -70,10 +70,30 @@ def index(docs: DataFrame, items: DataFrame, slop: int = 0) -> tuple[DataFrame,
     begin = F.greatest(F.col("pos") - around, F.lit(0))
     context = F.when(F.col("context"), F.slice("words", begin + 1, F.col("pos") - begin + around + 1))
     n_words = F.when(F.col("pos") == 0, size_of(F.col("words")))
-    rows = tokens(docs).join(small(wanted), "term", "left").where(F.col("context").isNotNull() | (F.col("pos") == 0))
+    if is_small(wanted):
+        rows = tokens(docs).join(F.broadcast(wanted), "term", "left").where(F.col("context").isNotNull() | (F.col("pos") == 0))
+    else:
+        rows = looked_up(docs, wanted)
     return asked, cut_lineage(rows.select("term", "doc_id", "h", "pos", F.col("context").isNotNull().alias("wanted"), begin.alias("begin"), context.alias("around"), n_words.alias("n_words")))
 
 
+def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `tokens` whose term is wanted, with its context, and those of pos 0, where the wanted terms are too many
+    to be sent to the texts.
+
+    Terms and their places are shuffled, words aren't; what is found is brought back to its text, which moves once.
+    """
+    places = tokens(docs).select("doc_id", "h", "pos", "term").join(wanted, "term")
+    # Repeated rows have the same places; each row gets them back.
+    of_text = places.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "term", "context")).alias("found")).withColumnsRenamed({"doc_id": "d", "h": "g"})
+    parts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    both = parts.join(of_text, parts["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    found = F.coalesce("found", F.array().cast("array<struct<pos:int,term:bigint,context:boolean>>"))
+    first = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("long").alias("term"), F.lit(None).cast("boolean").alias("context"))
+    rows = F.when(F.exists(found, lambda x: x["pos"] == 0), found).otherwise(F.array_append(found, first))
+    return both.select("doc_id", "h", words(F.col("text")).alias("words"), F.explode(rows).alias("r")).select("doc_id", "h", "words", "r.pos", "r.term", "r.context")
+
+
 def matches(docs: DataFrame, items: DataFrame, slop: int = 0, share: float = 0.8) -> DataFrame:
     """Where windows of the items occur in the documents.
 

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from galleria.llm import decontaminate as C
+from galleria.llm import common, decontaminate as C
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(C.UPPER, C.LOWER)
@@ -65,3 +65,21 @@ def test_proximity(spark):
     exact = {(r.doc_id, r.kind) for r in C.matches(docs, items).collect()}
     near = {(r.doc_id, r.kind) for r in C.matches(docs, items, slop=3).collect()}
     assert exact == {(0, "exact")} and {(0, "exact"), (1, "proximity")} <= near and not any(d == 2 for d, _ in near)
+
+
+def test_terms_that_are_too_many_to_be_sent(spark, sf, awkward, monkeypatch):
+    """The same rows, and no words below a shuffle but in the join that brings places back to their texts."""
+    monkeypatch.setattr(common, "SMALL", -1)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = C.contamination(docs, items).collect()
+    assert sorted(str(tuple(r)) for r in got) == by_brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    hard = [(1, "one"), (2, "Over the LAZY dog"), (None, "quick brown"), (5, "漢字 😀")]
+    asked = spark.createDataFrame(hard, "item_id long, text string")
+    got = C.contamination(awkward, asked).collect()
+    assert sorted(str(tuple(r)) for r in got) == by_brute_force([(r.doc_id, r.text) for r in awkward.collect()], hard)
+    wanted = spark.createDataFrame([(5, True)], "term long, context boolean")
+    plan = C.looked_up(docs, wanted)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line and "term" in line)
+    below = [line for line in plan[join + 1 :]]
+    assert not any("Project" in line and "words#" in line.split("[", 1)[1].split("]")[0] and "term" in line for line in below)
