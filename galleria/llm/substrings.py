@@ -16,13 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from galleria.llm.chunks import Sizes, boundaries, code_points
-from galleria.llm.common import cut_lineage, map_batches, narrowed, small, texts_of, written
+from galleria.llm.common import cut_lineage, map_batches, small, texts_of, written
 
 #: Chunk sizes in code points.
 SIZES = Sizes(16, 32, 96)
 #: Words of the shortest passage that counts. Its first and last chunks also hold characters from outside it; a run of
-#: neighbouring repeated chunks is a candidate from RUN_WORDS words on, which nearly all such passages have left.
-LEAST_WORDS, RUN_WORDS = 50, 20
+#: neighbouring repeated chunks is a candidate from RUN_WORDS words on: a chunk of the least size has as many of two letters.
+LEAST_WORDS, RUN_WORDS = 50, 5
 #: A chunk's place in one integer: its number, where it starts (code points) and how many words it has (255 at most).
 NUMBER, START, WORDS = 1 << 40, 1 << 8, 255
 WORD = re.compile(r"\S+")
@@ -48,6 +48,12 @@ def chunked(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), rows, CHUNKS)
 
 
+def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of df whose key stands in keys. Keys grow with the corpus, so both sides are shuffled at every size; the result
+    is checkpointed, so that no later aggregate reuses its distribution and Spark can split the rows of a frequent key."""
+    return cut_lineage(df.join(keys, on, "left_semi"))
+
+
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """h, digest, place of the chunks whose digest stands in texts that differ. chunks: checkpointed."""
     rows = chunks.select("h", F.explode(F.arrays_zip("digests", "places")).alias("c")).select("h", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))

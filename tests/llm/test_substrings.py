@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from galleria.llm import substrings as U
@@ -116,3 +118,18 @@ def test_tables_that_are_not_broadcast(spark, sf, monkeypatch):
     want = sorted(map(str, U.repeated_passages(docs).collect()))
     monkeypatch.setattr(common, "SMALL", -1)
     assert sorted(map(str, U.repeated_passages(docs).collect())) == want
+
+
+@pytest.mark.parametrize("letters", [2, 3, 5, 9])
+def test_planted_passages_of_short_and_long_words(spark, letters):
+    """Passages of 52 words, each in two texts of other words. Very short words make passages that are hardly longer than a
+    chunk, and not all of these have one of their own in both texts: the shares are measured."""
+    rng = random.Random(letters)
+    some = lambda n, size: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = some(52, letters)
+        rows += [(2 * i + k, f"{some(rng.randrange(5, 60), 7)} {passage} {some(rng.randrange(5, 60), 7)}") for k in (0, 1)]
+    rows += [(1000 + i, some(120, letters)) for i in range(60)]
+    found = {r.doc_id for r in U.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(d >= 1000 for d in found) and len(found) >= {2: 0.85, 3: 0.95}.get(letters, 0.99) * 120, len(found)
