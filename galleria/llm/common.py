@@ -43,13 +43,20 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
     """Apply a function to short Arrow batches of a DataFrame; no shuffle, one batch in memory."""
     bound_batches(df.sparkSession)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = rows(batch)
+            out = rows(batch.rename_columns(names))
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    # Columns go to Python by number: their names may hold dots.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galleria.llm.common import cut_lineage, narrowed, small
+from galleria.llm.common import cut_lineage, narrowed, quoted, small
 
 #: Leading tokens of a path; documents from which on a template recurs.
 DEPTH, LEAST_DOCS = 3, 5
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     joined = docs.join(small(keyed), docs["doc_id"].eqNullSafe(keyed["__d"]) & (F.xxhash64(docs["text"]) == keyed["__h"]), "left")
     parts, drops = F.split(docs["text"], "\n", -1), keyed["__drop"]
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drops, i)), "\n")
-    others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    others = [docs[quoted(c)] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(parts)).cast("long")
     n_dropped = F.when(drops.isNull(), 0).otherwise(F.size(drops)).cast("long")
     return joined.select(*others, F.when(drops.isNull(), docs["text"]).otherwise(kept).alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from galleria.llm.chunks import Sizes, boundaries, code_points
-from galleria.llm.common import cut_lineage, map_batches, small, texts_of, written
+from galleria.llm.common import cut_lineage, map_batches, quoted, small, texts_of, written
 
 #: Chunk sizes in code points.
 SIZES = Sizes(16, 32, 96)
@@ -195,8 +195,9 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     gone = F.coalesce(going["copied"], F.lit(False)) & ~docs["doc_id"].eqNullSafe(going["d"])
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = pa.array(stripped(batch, "text", "__drop", "__gone"), pa.string())
-        names = [c for c in batch.schema.names if c not in ("__drop", "__gone")]
+        kept = pa.array(stripped(batch, "text", drop_name, gone_name), pa.string())
         return pa.RecordBatch.from_arrays([kept if c == "text" else batch.column(c) for c in names], names)
 
-    return map_batches(joined.select(*[docs[c] for c in docs.columns], going["drop"].alias("__drop"), gone.alias("__gone")), rows, docs.schema)
+    names = docs.columns
+    drop_name, gone_name = ("_" * (1 + max(map(len, names))) + c for c in ("drop", "gone"))  # longer than any name of the table
+    return map_batches(joined.select(*[docs[quoted(c)] for c in names], going["drop"].alias(drop_name), gone.alias(gone_name)), rows, docs.schema)
