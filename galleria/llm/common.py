@@ -93,6 +93,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written densely to a folder of their own in the shared folder and read again, and that folder."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder whose rows aren't read any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

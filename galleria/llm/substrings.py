@@ -13,10 +13,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window, functions as F
 
 from galleria.llm.chunks import Sizes, boundaries, code_points
-from galleria.llm.common import cut_lineage, map_batches, quoted, small, texts_of, written
+from galleria.llm.common import cut_lineage, map_batches, quoted, removed, small, stored, texts_of
 
 #: Chunk sizes in code points.
 SIZES = Sizes(16, 32, 96)
@@ -55,7 +56,7 @@ def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """h, digest, place of the chunks whose digest stands in texts that differ. chunks: checkpointed."""
+    """h, digest, place of the chunks whose digest stands in texts that differ. chunks: written before."""
     rows = chunks.select("h", F.explode(F.arrays_zip("digests", "places")).alias("c")).select("h", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
     shared = cut_lineage(rows.groupBy("digest").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("digest"))
     return narrowed(rows, shared, "digest").distinct()
@@ -68,11 +69,17 @@ def runs(found: DataFrame) -> DataFrame:
     return ranked.withColumn("run_words", F.sum(F.col("place") % START).over(Window.partitionBy("h", "run")))
 
 
+def hashed(data: bytes, ends: list[int], size: int, firsts: range) -> np.ndarray:
+    """Hashes of the windows of size words that start at these words; data: words joined by spaces, ends: where each starts."""
+    return np.array([xxhash.xxh3_64_intdigest(data[ends[i] : ends[i + size] - 1]) - (1 << 63) for i in firsts], np.int64)
+
+
 def confirmed(docs: DataFrame, chunks: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:
-    """h and run of the candidates (checkpointed) below least_words words that lie in a repeated passage of so many.
+    """h and run, checkpointed, of the candidates (checkpointed) below least_words words that lie in a repeated passage of so many.
 
     Around each chunk of such a run, and around the same chunk wherever else it stands, windows of least_words words are
-    hashed; a run is in a passage if another text has one of its windows.
+    hashed; a run is in a passage if another text has one of its windows. Equal windows have the same least hash of half
+    their words, so windows are compared only where that one stands in another text.
     """
     doubtful = candidates.where(F.col("run_words") < least_words)
     digests = cut_lineage(doubtful.select("digest").distinct())
@@ -85,23 +92,38 @@ def confirmed(docs: DataFrame, chunks: DataFrame, candidates: DataFrame, least_w
     owned = texts.join(asked, (texts["h"] == asked["g"]) & texts["doc_id"].eqNullSafe(asked["first"])).select("h", "text", "runs", "places", "sizes")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owners, numbers, windows = [], [], []
+        owners, numbers, leasts, windows = [], [], [], []
         for h, text, own_runs, starts, sizes in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "runs", "places", "sizes")), strict=True):
             spans = [m.span() for m in WORD.finditer(text)]
-            begins, at = np.array([a for a, _ in spans]), 0
+            words = [text[a:b].encode("utf-8", "surrogatepass") for a, b in spans]
+            ends = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+            begins, data, at = np.array([a for a, _ in spans]), b" ".join(words), 0
             for run, n in zip(own_runs, sizes, strict=True):
                 inside = np.searchsorted(begins, starts[at : at + n])
                 at += n
-                firsts = {i for k in inside.tolist() for i in range(max(0, k - least_words + 1), min(k, len(spans) - least_words) + 1)}
-                found = {xxhash.xxh3_64_intdigest(" ".join(text[a:b] for a, b in spans[i : i + least_words]).encode("utf-8", "surrogatepass")) - (1 << 63) for i in firsts}
+                firsts = sorted({i for k in inside.tolist() for i in range(max(0, k - least_words + 1), min(k, len(spans) - least_words) + 1)})
+                found = {}
+                for block in np.split(firsts, np.flatnonzero(np.diff(firsts) > 1) + 1) if firsts else []:
+                    i, j = int(block[0]), int(block[-1]) + 1
+                    halves = hashed(data, ends, half, range(i, j + least_words - half))
+                    for least, w in zip(sliding_window_view(halves, least_words - half + 1).min(1).tolist(), hashed(data, ends, least_words, range(i, j)).tolist(), strict=True):
+                        found.setdefault(least, set()).add(w)
                 owners += [h] * len(found)
                 numbers += [run] * len(found)
-                windows += found
-        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int64()), pa.array(windows, pa.int64())], ["h", "run", "w"])
+                leasts += found
+                windows += map(list, found.values())
+        arrays = [pa.array(owners, pa.int64()), pa.array(numbers, pa.int64()), pa.array(leasts, pa.int64()), pa.array(windows, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "run", "least", "windows"])
+
+    def shared(each: DataFrame, key: str) -> DataFrame:
+        return cut_lineage(each.groupBy(key).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(key))
 
-    each = written(map_batches(owned, rows, "h long, run long, w long"), "passage-windows")
-    shared = cut_lineage(each.groupBy("w").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("w"))
-    return narrowed(each, shared, "w").select("h", "run").distinct()
+    half = max(1, least_words // 2)
+    each, folder = stored(map_batches(owned, rows, "h long, run long, least long, windows array<long>"), "passage-windows")
+    near = narrowed(each, shared(each, "least"), "least").select("h", "run", F.explode("windows").alias("w"))
+    sure = cut_lineage(narrowed(near, shared(near, "w"), "w").select("h", "run").distinct())
+    removed(docs.sparkSession, folder)
+    return sure
 
 
 def passages(docs: DataFrame, chunks: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +131,7 @@ def passages(docs: DataFrame, chunks: DataFrame, least_words: int) -> tuple[Data
     run_words."""
     found = cut_lineage(repeated_chunks(chunks))
     candidates = cut_lineage(runs(found).where(F.col("run_words") >= min(RUN_WORDS, least_words)))
-    sure = cut_lineage(confirmed(docs, chunks, candidates, least_words))
+    sure = confirmed(docs, chunks, candidates, least_words)
     long = candidates.where(F.col("run_words") >= least_words)
     return found, cut_lineage(long.unionByName(candidates.where(F.col("run_words") < least_words).join(small(sure), ["h", "run"], "left_semi")))
 
@@ -161,10 +183,11 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     Null, empty and short texts are never repeated; repeated rows are copies of each other; rows with a null doc_id are
     kept as such; no rows give no rows; texts may have any length.
     """
-    chunks = cut_lineage(chunked(docs))
+    chunks, folder = stored(chunked(docs), "chunks")
     found, kept = passages(docs, chunks, least_words)
     named = spans_of(chunks, kept, least_words).join(plan(chunks, found, kept, least_words), "h", "left")
     named = cut_lineage(named.withColumnRenamed("h", "g"))
+    removed(docs.sparkSession, folder)
     texts = docs.select("doc_id", "text")
     joined = texts.join(named, F.xxhash64(texts["text"]) == named["g"])
     gone = F.coalesce("copied", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("d"))
@@ -189,8 +212,9 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     of one doc_id and text stay both. Null, empty and short texts stay as they are; texts may have any length; no rows
     give no rows.
     """
-    chunks = cut_lineage(chunked(docs))
+    chunks, folder = stored(chunked(docs), "chunks")
     going = cut_lineage(plan(chunks, *passages(docs, chunks, least_words), least_words))
+    removed(docs.sparkSession, folder)
     joined = docs.join(going, F.xxhash64(docs["text"]) == going["h"], "left")
     gone = F.coalesce(going["copied"], F.lit(False)) & ~docs["doc_id"].eqNullSafe(going["d"])
 

@@ -133,3 +133,29 @@ def test_planted_passages_of_short_and_long_words(spark, letters):
     rows += [(1000 + i, some(120, letters)) for i in range(60)]
     found = {r.doc_id for r in U.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(d >= 1000 for d in found) and len(found) >= {2: 0.85, 3: 0.95}.get(letters, 0.99) * 120, len(found)
+
+
+@pytest.mark.parametrize("least", [3, 12, 50])
+def test_window_hashes(least):
+    rng = random.Random(least)
+    words = [rng.choice(["a", "bb", "é", "漢字", "😀x"]) for _ in range(90)]
+    each = [w.encode() for w in words]
+    ends = np.cumsum([0, *(len(w) + 1 for w in each)]).tolist()
+    got = U.hashed(b" ".join(each), ends, least, range(len(words) - least + 1)).tolist()
+    assert got == [xxhash.xxh3_64_intdigest(" ".join(words[i : i + least]).encode()) - (1 << 63) for i in range(len(words) - least + 1)]
+
+
+@pytest.mark.parametrize("least", [7, 50])
+def test_words_of_many_bytes_and_odd_spaces(spark, least):
+    """Passages that are just long enough, apart from each other by spaces only, as a plain loop finds them."""
+    rng = random.Random(least)
+    word = lambda: "".join(rng.choice("abé漢😀") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for _ in range(12):
+        passage = [word() for _ in range(rng.choice([least - 1, least, least + 30]))]
+        for _ in range(2):
+            parts = [word() for _ in range(60)] + passage + [word() for _ in range(60)]
+            texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "  "]) for w in parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.longest for r in U.repeated_passages(frame, least).collect()}
+    assert got == {i: x for i, x in enumerate(by_brute_force(texts, least)) if x}
