@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from galleria.operators.jobs import NEXT
 from galleria.plans.registry import query
 from galleria.streaming import process_log as P, run
 from galleria.streaming.keyed_table import KeyedTable, merge_batch
@@ -22,9 +23,18 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.complete(P.latest_state(P.read_events(spark, f"{sf_dir}/events.parquet")))
 
 
-@query()
+STEPS = ", ".join(f"('{before}', '{after}')" for before, some in NEXT.items() for after in some)
+WALK = f"""WITH RECURSIVE steps(x, y) AS (VALUES {STEPS}),
+e AS MATERIALIZED (SELECT user_id, event_id, {STATES} AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+walk AS (SELECT user_id, n, event_id, 'pending' AS before, status AS after, ('pending', status) IN (SELECT (x, y) FROM steps) AS valid FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.n, e.event_id, CASE WHEN valid THEN after ELSE before END, e.status, (CASE WHEN valid THEN after ELSE before END, e.status) IN (SELECT (x, y) FROM steps)
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id AS process_id, event_id AS sequence, before, after, valid FROM walk"""
+
+
+@query(WALK)
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State machine of each user's process; tested against a plain loop."""
+    """State machine of each user's process; the SQL walks each user's events by their number."""
     events = P.read_events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("process_id"), F.col("event_id").alias("sequence"), F.expr(STATES).alias("status"))
     return run.appended(P.checked_transitions(events))
 
