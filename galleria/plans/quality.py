@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleria.operators import quality as Q
-from galleria.operators.jobs import metadata_matches
+from galleria.operators.jobs import metadata_matches, model_kinds as kinds_of
 from galleria.plans.registry import query, table
 
 
@@ -79,3 +79,14 @@ def engine_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether stored metadata equals what is wanted in all keys."""
     have = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", metadata_matches(have, {"brand": "Brand#2", "type": "ECONOMY"}).alias("reusable"))
+
+
+@query("""WITH outputs AS (SELECT l_orderkey AS model, 2 + 2 * (l_suppkey % 2) AS input_rank, l_partkey % 2 AS count, CASE l_linenumber % 4 WHEN 0 THEN 512 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 10 END AS channels FROM lineitem),
+  groups AS (SELECT model, bool_or(channels = 1) AND bool_or(channels = 4) AND bool_or(channels = 10) AS detects, bool_or(input_rank = 4 AND channels = 512) AS recognizes FROM outputs GROUP BY model, count)
+SELECT model, CASE WHEN bool_or(detects) THEN 'detector' WHEN bool_or(recognizes) THEN 'recognizer' ELSE 'unknown' END AS kind FROM groups GROUP BY model""")
+def model_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models by the channels of their outputs: an order is a model, its lines are outputs."""
+    channels = F.element_at(F.array(*map(F.lit, (512, 1, 4, 10))), (F.col("l_linenumber") % 4).cast("int") + 1)
+    rank, count = 2 + 2 * (F.col("l_suppkey") % 2), F.col("l_partkey") % 2
+    outputs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("model"), rank.alias("input_rank"), count.alias("count"), channels.alias("channels"))
+    return kinds_of(outputs)
