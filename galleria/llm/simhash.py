@@ -26,8 +26,8 @@ FAN_OUT, TOGETHER = 8, 2048
 AT_ONCE = 1 << 16
 #: A bucket of more fingerprints is dealt out once more by blocks of its other bits.
 MOST = 2048
-#: Texts that tell which shingles are common, and how many of those are told apart.
-SAMPLE, COMMON = 8000, 100_000
+#: One of so many texts is asked which shingles are common; how many of these are told apart at most.
+ASKED, COMMON = 2, 1 << 20
 #: Neighbours of a shared key compared in the first round, one more than that; each further round reaches so much wider.
 FIRST_REACH, WIDER = 8, 4
 #: Links that one task takes where they are joined to components.
@@ -304,17 +304,27 @@ def prefix(keys: np.ndarray, common: np.ndarray, counts: np.ndarray, least: floa
     return keys[np.lexsort((keys, rank))[:take]]
 
 
-def common_keys(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in three texts or more of a bounded sample, sorted, and in how many."""
-    part = max(1, hashed.count() // SAMPLE)
-    texts = hashed.where(F.pmod("h", F.lit(part)) == 0).dropDuplicates(["h"]).select("text")
+def common_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in three texts or more of a fixed share of all texts (h, text), sorted, and in how many.
+
+    The share doesn't shrink as the texts get more, or shingles of ever longer lists would pass for rare ones. Of more than
+    COMMON shingles the most frequent stay. They only order the keys: no text and no key is left out of what is compared.
+    """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_keys(t or "") for t in batch.column("text").to_pylist()]
+        found = [shingle_keys(t) for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key"])
 
-    counted = map_batches(texts, rows, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
-    keys, counts = np.array([r[0] for r in counted], np.int64).view(np.uint64), np.array([r[1] for r in counted], np.int64)
+    keys = map_batches(texts.where(F.pmod("h", F.lit(ASKED)) == 0).select("text"), rows, "key long")
+    counted = cut_lineage(keys.groupBy("key").count().where("count > 2"))
+    least, total = 3, 0
+    for n, many in counted.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).collect():
+        total += many
+        if total > COMMON:
+            least = n + 1
+            break
+    found = counted.where(F.col("count") >= least).toArrow()
+    keys, counts = found.column("key").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
@@ -455,7 +465,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, leas
     same = firsts.select("fp", F.col("u").alias("b")).join(heads.select("fp", F.col("u").alias("a")), "fp").where("a != b").select("a", "b")
     start = cut_lineage(near.unionByName(same))
 
-    common, counts = common_keys(hashed)
+    # Copies are told by their row; one text of each is enough.
+    copies = known.join(firsts.select("first"), known["doc_id"].eqNullSafe(F.col("first.doc_id")) & (known["h"] == F.col("first.h")), "left_anti")
+    copies = cut_lineage(copies.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
+    once = hashed.join(small(copies), hashed["doc_id"].eqNullSafe(copies["__d"]) & (hashed["h"] == copies["__h"]), "left_anti")
+    common, counts = common_keys(once)
 
     def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
@@ -463,10 +477,6 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 8, leas
         first = [prefix(k, common, counts, least).view(np.int64) for k in every]
         return pa.RecordBatch.from_arrays([pa.array(word_ids(texts)), pa.array([len(k) for k in every], pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["u", "n", "keys"])
 
-    # Copies are told by their row; one text of each is enough.
-    copies = known.join(firsts.select("first"), known["doc_id"].eqNullSafe(F.col("first.doc_id")) & (known["h"] == F.col("first.h")), "left_anti")
-    copies = cut_lineage(copies.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
-    once = hashed.join(small(copies), hashed["doc_id"].eqNullSafe(copies["__d"]) & (hashed["h"] == copies["__h"]), "left_anti")
     keyed = map_batches(once.select("text"), rarest, "u long, n int, keys array<long>")
     asked = firsts.select("u", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     grouped = alike(keyed, asked, hashed, start, least)

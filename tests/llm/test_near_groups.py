@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from galleria.llm import simhash as S
 
 
@@ -65,3 +67,31 @@ def test_alike_texts_of_far_fingerprints(spark):
 def test_wordless_and_short_texts(spark):
     texts = ["", " \n ", "one", "One ", "one two three four five six", "one two three four five seven", "\t"]
     assert left(spark, texts) == [0, 2, 4, 5]
+
+
+def test_recurring_shingles_are_told_among_many_texts(spark):
+    """A shingle of 12 texts is known to be common whatever the number of texts: else its list counts as a rare one's."""
+    n = 64_000
+    shared = F.concat_ws(" ", *[F.concat(F.lit(w), F.expr("id div 12")) for w in "abcde"])
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"own{w}"), F.col("id")) for w in "abc"])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", shared, own).alias("text"))
+    keys, counts = S.common_keys(docs.withColumn("h", F.xxhash64("text")))
+    want = [S.shingle_keys(" ".join(f"{w}{i}" for w in "abcde"))[0] for i in range(0, n // 12, 10)]
+    assert sum(k in set(keys.tolist()) for k in map(int, want)) >= 0.9 * len(want)
+    assert len(keys) <= n // 12 + 1 and counts.min() > 2
+
+
+def test_cut_of_the_common_shingles_keeps_the_groups(spark, monkeypatch):
+    rng = random.Random(4)
+    lines = [" ".join(f"t{i}w{j}" for j in range(7)) for i in range(12)]
+    texts = [" ".join([*rng.sample(lines, 5), *(f"w{rng.randrange(40)}" for _ in range(6))]) for _ in range(120)]
+    texts += [edited(rng, t.split(), 1) for t in texts[::4]]
+    want = by_brute_force(texts)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", F.xxhash64("text"))
+    whole = dict(zip(*(x.tolist() for x in S.common_keys(frame)), strict=True))
+    for most in (0, 20, 1 << 20):
+        monkeypatch.setattr(S, "COMMON", most)
+        keys, counts = S.common_keys(frame)
+        assert len(keys) <= most and all(whole[k] == c for k, c in zip(keys.tolist(), counts.tolist(), strict=True))
+        assert min(counts, default=1000) >= max([c for k, c in whole.items() if k not in set(keys.tolist())], default=0)
+        assert left(spark, texts) == want
