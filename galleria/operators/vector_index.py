@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from galleria.operators.topk import HITS, PLACES, PROBES_AT_ONCE, _ranked, unit
+from galleria.operators import topk as T
+from galleria.operators.topk import HITS, PLACES, _ranked, as_hits, keep_best, matrix, rounds, unit
 
 #: Centres are broadcast; so many of 512 dimensions take 64 MB.
 MOST_CELLS = 1 << 14
@@ -23,8 +25,12 @@ MOST_CELLS = 1 << 14
 SAMPLED, ROUNDS = 64, 5
 #: Cells of a folder; its rows are in their order, so that row groups of other cells are skipped too.
 CELLS_A_FOLDER = 16
-#: Rows of a file, and rows of a block where blocks of probes meet blocks of a cell.
+#: Rows of a file, and most probes that are compared with a cell's vectors at once.
 FILE_ROWS, BLOCK = 1 << 18, 1 << 13
+#: Cosines that are worked on at once; so many stay in the cache, and memory doesn't grow with the number of cells.
+AT_ONCE = 1 << 19
+#: Queries that go in one round, like those of `topk`.
+PROBES_AT_ONCE = T.PROBES_AT_ONCE
 
 
 @dataclass(frozen=True)
@@ -43,10 +49,28 @@ class VectorIndex:
         folders = sorted({int(c) // CELLS_A_FOLDER for c in cells})
         return rows.where(F.col("folder").isin(folders) & F.col("cell").isin([int(c) for c in cells]))
 
-    def probed(self, vectors: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest cells of each vector (rows of unit length), ties by number."""
-        near = -np.round(vectors @ self.centres.T, PLACES)
-        return np.argsort(near, axis=1, kind="stable")[:, :probes]
+    def probed(self, vectors: np.ndarray, probes: int) -> Iterator[np.ndarray]:
+        """Which cells are the nearest ones of each vector (rows of unit length), ties by number: a row a vector, in slices of
+        whole eights."""
+        for near in _near(vectors, self.centres, 8):
+            if probes >= near.shape[1]:
+                yield np.ones(near.shape, bool)
+                continue
+            last = np.partition(near, -probes, axis=1)[:, -probes, None]
+            sure, ties = near > last, near == last
+            yield sure | ties & (np.cumsum(ties, axis=1) <= probes - sure.sum(1, keepdims=True))
+
+
+def _near(vectors: np.ndarray, centres: np.ndarray, multiple: int = 1) -> Iterator[np.ndarray]:
+    """Cosines of vectors with all centres, in slices that bound memory."""
+    step = max(multiple, AT_ONCE // len(centres) // multiple * multiple)
+    for first in range(0, len(vectors), step):
+        near = vectors[first : first + step] @ centres.T
+        yield np.round(near, PLACES, out=near)
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([near.argmax(1) for near in _near(vectors, centres)])
 
 
 def default_cells(n: int) -> int:
@@ -61,8 +85,8 @@ def _with_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.round(unit(batch.column("embedding").to_pylist()) @ sent.value.T, PLACES)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.argmax(1), pa.int32())], [*batch.schema.names, "cell"])
+                cells = _nearest(unit(matrix(batch.column("embedding"))), sent.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"])
 
     return rows.mapInArrow(run, rows.select("*", F.lit(0).alias("cell")).schema)
 
@@ -77,7 +101,7 @@ def train(gallery: DataFrame, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     share = min(1.0, SAMPLED * cells / max(1, n))
     hashed = F.pmod(F.xxhash64("sample_id"), F.lit(1 << 20))
     sample = gallery.select("sample_id", "embedding").where(hashed < int(share * (1 << 20)) + 1)
-    first = sample.groupBy("embedding").agg(F.min(F.struct(F.xxhash64("sample_id").alias("h"), F.col("sample_id").alias("id"))).alias("k")).orderBy("k").limit(cells)
+    first = sample.groupBy("embedding").agg(F.min(F.xxhash64("sample_id")).alias("h"), F.min("sample_id").alias("id")).orderBy("h", "id").limit(cells)
     centres = unit([r["embedding"] for r in first.collect()])
 
     for _ in range(rounds):
@@ -87,8 +111,8 @@ def train(gallery: DataFrame, cells: int, rounds: int = ROUNDS) -> np.ndarray:
             total, count = np.zeros_like(sent.value), np.zeros(len(sent.value), np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    v = unit(batch.column("embedding").to_pylist())
-                    cell = np.round(v @ sent.value.T, PLACES).argmax(1)
+                    v = unit(matrix(batch.column("embedding")))
+                    cell = _nearest(v, sent.value)
                     np.add.at(total, cell, v)
                     count += np.bincount(cell, minlength=len(count))
             used = np.flatnonzero(count)
@@ -158,85 +182,49 @@ def _checked(k: int, probes: int) -> None:
         raise ValueError("at least one cell must be probed")
 
 
-def _best_of(ids: np.ndarray, asked: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best other vectors of each probe: query ids, sample ids and scores, unordered."""
-    scores = np.round(asked @ vectors.T, PLACES) + 0.0
-    scores[ids[:, None] == own[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-    top = np.take_along_axis(scores, order, 1)
-    real = top > -np.inf
-    return np.broadcast_to(ids[:, None], top.shape)[real], own[order][real], top[real]
-
-
 def search(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int = 8, keep: Column | None = None) -> DataFrame:
     """query_id, sample_id, score, rank of the k best other vectors in the nearest cells of each query, like `topk`.
 
     queries: query_id, embedding. The filter keep is applied before the ranking; where it leaves fewer than k rows in the
-    cells of a query, the query gets these. Up to PROBES_AT_ONCE queries are sent to the cells where they lie, nothing is
-    shuffled but hits; more of them meet the vectors of their cells in blocks.
+    cells of a query, the query gets these. Queries are sent to the cells where they lie, in rounds of about PROBES_AT_ONCE,
+    each of which reads its cells once; a task holds the best k of each query, and nothing else is shuffled.
     """
     _checked(k, probes)
-    if queries.count() > PROBES_AT_ONCE:
-        return _ranked(_in_blocks(index, queries, k, probes, keep), k)
-    asked = queries.select("query_id", "embedding").toArrow()
-    spark = queries.sparkSession
-    if not asked.num_rows:
-        return _ranked(spark.createDataFrame([], HITS), k)
-    ids, m = asked.column("query_id").to_numpy(), unit(asked.column("embedding").to_pylist())
-    cells = index.probed(m, probes)
-    wanted = np.zeros((len(index.centres), len(ids)), bool)
-    wanted[cells, np.arange(len(ids))[:, None]] = True
+    found = [_searched(index, queries.sparkSession, *asked, k, probes, keep) for asked in rounds(queries, queries.count(), PROBES_AT_ONCE)]
+    if not found:
+        return _ranked(queries.sparkSession.createDataFrame([], HITS), k)
+    return _ranked(reduce(DataFrame.unionByName, found), k)
+
+
+def _searched(index: VectorIndex, spark: SparkSession, ids: np.ndarray, m: np.ndarray, k: int, probes: int, keep: Column | None) -> DataFrame:
+    """The k best of each query in each task; m are the queries' vectors."""
+    # A row a cell: bits of the queries that go there.
+    wanted = np.concatenate([np.packbits(part.T, axis=1) for part in index.probed(m, probes)], axis=1)
     kept = index.vectors(spark, np.flatnonzero(wanted.any(1)))
     kept = kept if keep is None else kept.where(keep)
-    sent = spark.sparkContext.broadcast((ids, m, wanted))
+    sent, block, everywhere = spark.sparkContext.broadcast((ids, m, wanted)), BLOCK, probes >= len(index.centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m, wanted = sent.value
+        best, owners = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             where, own = batch.column("cell").to_numpy(), batch.column("sample_id").to_numpy()
-            vectors = unit(batch.column("embedding").to_pylist()) if len(own) else None
-            for cell in np.unique(where):
-                here, probing = where == cell, np.flatnonzero(wanted[cell])
-                for first in range(0, len(probing), 512):
-                    part = probing[first : first + 512]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best_of(ids[part], m[part], own[here], vectors[here], k)], ["query_id", "sample_id", "score"])
-
-    return _ranked(kept.select("cell", "sample_id", "embedding").mapInArrow(run, HITS), k)
-
-
-def _in_blocks(index: VectorIndex, queries: DataFrame, k: int, probes: int, keep: Column | None) -> DataFrame:
-    """The k best of each query in each block of its cells: a block of a cell's probes meets a block of its vectors in a task."""
-    spark = queries.sparkSession
-    sent = spark.sparkContext.broadcast(index)
-
-    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cells = sent.value.probed(unit(batch.column("embedding").to_pylist()), probes)
-                rows = np.repeat(np.arange(len(cells)), cells.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(rows)), batch.column("embedding").take(pa.array(rows)), pa.array(cells.ravel(), pa.int32())], ["query_id", "embedding", "cell"])
-
-    sized = queries.select("query_id", "embedding")
-    probing = sized.mapInArrow(cells_of, sized.select("*", F.lit(0).alias("cell")).schema)
-    kept = index.vectors(spark)
-    kept = (kept if keep is None else kept.where(keep)).select("cell", "sample_id", "embedding")
-    blocks = probing.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
-    columns = spark.createDataFrame([(i, max(1, -(-int(n) // BLOCK))) for i, n in enumerate(index.sizes)], "cell int, columns int")
-    shape = F.broadcast(blocks.join(F.broadcast(columns), "cell"))  # at most MOST_CELLS rows
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = probing.join(shape, "cell").select("query_id", "embedding", "cell", place("query_id", "rows").alias("row"), steps("columns").alias("column"))
-    g = kept.join(shape, "cell").select("sample_id", "embedding", "cell", place("sample_id", "columns").alias("column"), steps("rows").alias("row"))
-
-    def best(queries: pa.Table, gallery: pa.Table) -> pa.Table:
-        ids, own, parts = queries.column("query_id").to_numpy(), gallery.column("sample_id").to_numpy(), []
-        if len(ids) and len(own):
-            asked, vectors = unit(queries.column("embedding").to_pylist()), unit(gallery.column("embedding").to_pylist())
-            parts = [_best_of(ids[i : i + 256], asked[i : i + 256], own, vectors, k) for i in range(0, len(ids), 256)]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "sample_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    return q.groupBy("cell", "row", "column").cogroup(g.groupBy("cell", "row", "column")).applyInArrow(best, HITS)
+            vectors = unit(matrix(batch.column("embedding")))
+            # Where all queries go to all cells, the vectors of a batch are one block.
+            parts = [(np.ones(len(ids), bool), slice(None))] if everywhere else ((np.unpackbits(wanted[c], count=len(ids)).view(bool), np.flatnonzero(where == c)) for c in np.unique(where))
+            for asking, here in parts:
+                probing, there, names = np.flatnonzero(asking), vectors[here], own[here]
+                step = max(1, min(block, AT_ONCE // len(names)))
+                for first in range(0, len(probing), step):
+                    part = probing[first : first + step]
+                    scores = np.round(m[part] @ there.T, PLACES) + 0.0
+                    scores[ids[part, None] == names[None, :]] = -np.inf
+                    keep_best(best, owners, part, scores, names)
+        yield as_hits(ids, best, owners)
+
+    return kept.select("cell", "sample_id", "embedding").mapInArrow(run, HITS)
 
 
 def scored_share(index: VectorIndex, queries: DataFrame, probes: int) -> float:
@@ -247,8 +235,8 @@ def scored_share(index: VectorIndex, queries: DataFrame, probes: int) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells = sent.value.probed(unit(batch.column("embedding").to_pylist()), probes)
-                yield pa.RecordBatch.from_arrays([pa.array(sent.value.sizes[cells].sum(1))], ["n"])
+                for cells in sent.value.probed(unit(matrix(batch.column("embedding"))), probes):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells @ sent.value.sizes)], ["n"])
 
     n = queries.select("embedding").mapInArrow(run, "n long").agg(F.avg("n")).first()[0] or 0.0
     return n / max(1, index.sizes.sum())

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from galleria.operators import topk as T
+from galleria.operators import topk as T, vector_index as I
 
 K = 4
 
@@ -66,3 +66,25 @@ def test_keep_best_in_parts_of_any_size():
             order = np.lexsort((own, -scores[q]))[:K]
             want = [(scores[q, i], own[i]) for i in order if scores[q, i] > -np.inf]
             assert [(b, o) for b, o in zip(best[q], owners[q], strict=True) if b > -np.inf] == want
+
+
+def test_cells_are_told_in_slices(spark, tmp_path, monkeypatch):
+    """Cosines of a whole batch with all centres took gigabytes where these are thousands; so did a row for each query and cell."""
+    m = vectors()
+    queries, gallery = frames(spark, m)
+    index = I.build(gallery, str(tmp_path / "i"), cells=23)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.argsort(-np.round(unit @ index.centres.T, 6), axis=1, kind="stable")
+    monkeypatch.setattr(I, "AT_ONCE", 23 * 40)
+    slices = list(index.probed(unit, 5))
+    told = np.concatenate(slices)
+    assert len(slices) == 10 and (told.sum(1) == 5).all() and told[np.arange(len(m))[:, None], near[:, :5]].all()
+    assert (I._nearest(unit, index.centres) == near[:, 0]).all()
+    monkeypatch.setattr(I, "PROBES_AT_ONCE", 30)
+    cell = {r.sample_id: r.cell for r in index.vectors(spark).select("sample_id", "cell").collect()}
+    may = told[:, [cell[i] for i in range(len(m))]]
+    assert rows(I.search(index, queries, K, 5)) == plain(m, range(0, len(m), 3), may)
+    assert rows(I.search(index, queries, K, 23)) == plain(m, range(0, len(m), 3), np.ones_like(may))
+    # Each task sends on K rows a query at most; it was K rows for each query, cell and batch.
+    sent = I._searched(index, spark, np.arange(0, len(m), 3), unit[::3], K, 23, None)
+    assert sent.count() <= K * len(m[::3]) * sent.rdd.getNumPartitions()
